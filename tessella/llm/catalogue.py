@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.quality_mcd import quality_verdicts
+from tessella.llm.secret_scan import digest, scan_secrets
 from tessella.runtime import table
 
 
@@ -14,8 +15,12 @@ def op2_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_mcd": op2_quality_mcd}
+    return {"op2_quality_mcd": op2_quality_mcd, "op10_secret_scan": op10_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
