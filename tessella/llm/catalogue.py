@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.quality_mcd import quality_verdicts
 from tessella.llm.secret_scan import digest, scan_secrets
+from tessella.llm.langid_ftrl import identify
 from tessella.runtime import table
 
 
@@ -19,8 +20,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op3_langid_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_mcd": op2_quality_mcd, "op10_secret_scan": op10_secret_scan}
+    return {
+        "op2_quality_mcd": op2_quality_mcd,
+        "op3_langid_ftrl": op3_langid_ftrl,
+        "op10_secret_scan": op10_secret_scan,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
