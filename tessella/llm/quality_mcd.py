@@ -50,6 +50,8 @@ class QualityConfig:
     subset: float = 0.75
     steps: int = 4
     min_group: int = 60
+    broadcast_groups: int = 50_000
+    salts: int = 64
     floors: tuple[float, ...] = (0.05, 0.04, 0.08, 0.10)
     cutoff: float = 48.6
     #: chi-square with 4 degrees of freedom at 0.5 and 0.975
@@ -195,14 +197,27 @@ def _joined_distance() -> Column:
     return _distance(mean, {(i, j): F.col(f"l{i}{j}") for i in range(DIMS) for j in range(i + 1)})
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame, on: str, config: QualityConfig) -> DataFrame:
+    """Rows with their group's columns. Group tables are broadcast while their checked count allows;
+    beyond that both sides are salted, so that a group with a third of all rows is dealt out."""
+    if groups.count() <= config.broadcast_groups:
+        return rows.join(F.broadcast(groups), on)
+    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c != on]), F.lit(config.salts))
+    spread = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(config.salts - 1)).cast("array<bigint>")))
+    return rows.withColumn("_salt", salt).join(spread, [on, "_salt"]).drop("_salt")
+
+
 def estimate(cells: DataFrame, config: QualityConfig) -> DataFrame:
     """Robust location and scatter of each ``grp`` of (grp, z0..z3, weight); ``scale`` turns raw
     squared distances into ones whose median is the chi-square median."""
-    start = cells.groupBy("grp").agg(
-        *(F.expr(f"percentile_approx(z{i}, 0.5, 1000)").cast("double").alias(f"m{i}") for i in range(DIMS))
+    start = materialize(
+        cells.groupBy("grp").agg(
+            *(F.expr(f"percentile_approx(z{i}, 0.5, 1000)").cast("double").alias(f"m{i}") for i in range(DIMS))
+        ),
+        "mcd",
     )
     spread = (
-        cells.join(start, "grp").groupBy("grp")
+        _with_groups(cells, start, "grp", config).groupBy("grp")
         .agg(*(F.expr(f"percentile_approx(abs(z{i} - m{i}), 0.5, 1000)").alias(f"d{i}") for i in range(DIMS)))
     )
     first = start.join(spread, "grp").select(
@@ -214,25 +229,22 @@ def estimate(cells: DataFrame, config: QualityConfig) -> DataFrame:
     )
     model = materialize(first, "mcd")
     for _ in range(config.steps):
-        model = materialize(_moments(cells.join(model, "grp"), _joined_distance(), None, config), "mcd")
-    scaled = model.withColumn("reach", _upper(_raw_median(cells, model, config)) * config.chi_reweight / config.chi_median)
-    inner = cells.join(scaled, "grp")
+        model = materialize(_moments(_with_groups(cells, model, "grp", config), _joined_distance(), None, config), "mcd")
+    # the last step's median bucket, of distances to the step before, which has converged
+    reached = F.greatest(F.col("mid"), _bucket(F.lit(config.chi_median)))
+    scaled = model.withColumn("reach", _upper(reached) * config.chi_reweight / config.chi_median)
+    inner = _with_groups(cells, scaled, "grp", config)
     final = materialize(
         _moments(inner.filter(_joined_distance() <= F.col("reach")), _joined_distance(), F.lit(True), config), "mcd"
     )
-    mid = _medians(cells, final)
+    mid = _medians(cells, final, config)
     return final.drop("mid").join(mid, "grp").withColumn(
         "scale", config.chi_median / F.greatest(_upper(F.col("mid")), F.lit(config.chi_median))
     )
 
 
-def _raw_median(cells: DataFrame, model: DataFrame, config: QualityConfig) -> Column:
-    """The last step's median bucket; distances there are of the step before, which has converged."""
-    return F.greatest(F.col("mid"), _bucket(F.lit(config.chi_median)))
-
-
-def _medians(cells: DataFrame, model: DataFrame) -> DataFrame:
-    counts = cells.join(model, "grp").groupBy("grp", _bucket(_joined_distance()).alias("b")).agg(F.sum("weight").alias("n"))
+def _medians(cells: DataFrame, model: DataFrame, config: QualityConfig) -> DataFrame:
+    counts = _with_groups(cells, model, "grp", config).groupBy("grp", _bucket(_joined_distance()).alias("b")).agg(F.sum("weight").alias("n"))
     w = Window.partitionBy("grp")
     counts = counts.withColumns({"total": F.sum("n").over(w), "upto": F.sum("n").over(w.orderBy("b"))})
     return counts.filter(F.col("upto") >= F.col("total") / 2).groupBy("grp").agg(F.min("b").alias("mid"))
@@ -257,18 +269,18 @@ def quality_verdicts(
     stats = materialize(stats.withColumn("base_failed", failed), "stats")
     passing = stats.filter(~F.col("base_failed"))
     sizes = passing.groupBy("own").agg(F.count("*").alias("members"))
-    names = sizes.select("own", F.when(F.col("members") >= config.min_group, F.col("own")).otherwise("*").alias("grp"))
+    own_or_pooled = F.when(F.col("members") >= config.min_group, F.col("own")).otherwise("*")
+    names = materialize(sizes.select("own", own_or_pooled.alias("grp")), "names")
     z = [f"z{i}" for i in range(DIMS)]
     cells = materialize(
-        passing.groupBy("own", *z).agg(F.count("*").alias("weight")).join(names, "own").groupBy("grp", *z).agg(F.sum("weight").alias("weight")),
+        _with_groups(passing.select("own", *z), names, "own", config).groupBy("grp", *z).agg(F.count("*").alias("weight")),
         "cells",
     )
-    model = names.join(estimate(cells, config), "grp")
-    judged = stats.join(model, "own", "left").withColumn(
-        "distance", F.when(~F.col("base_failed"), _joined_distance() * F.col("scale"))
-    )
+    model = materialize(names.join(estimate(cells, config), "grp"), "mcd")
+    judged = _with_groups(passing, model, "own", config).withColumn("distance", _joined_distance() * F.col("scale"))
+    failing = stats.filter("base_failed").withColumn("distance", F.lit(None).cast("double"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= config.cutoff)
-    return judged.select(
+    return judged.select(*failing.columns).unionByName(failing).select(
         F.col("_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", kept.alias("kept"), "distance",
     )
