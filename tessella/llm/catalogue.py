@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm.quality_mcd import quality_verdicts
 from tessella.llm.secret_scan import digest, scan_secrets
 from tessella.llm.langid_ftrl import identify
+from tessella.llm.toxicity_nnpu import score_toxicity
 from tessella.runtime import table
 
 
@@ -24,10 +25,15 @@ def op3_langid_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_mcd": op2_quality_mcd,
         "op3_langid_ftrl": op3_langid_ftrl,
+        "op8_toxicity_nnpu": op8_toxicity_nnpu,
         "op10_secret_scan": op10_secret_scan,
     }
 
