@@ -10,6 +10,7 @@ from tessella.llm.quality_mcd import quality_verdicts
 from tessella.llm.secret_scan import digest, scan_secrets
 from tessella.llm.langid_ftrl import identify
 from tessella.llm.toxicity_nnpu import score_toxicity
+from tessella.llm.jaccard_join import jaccard_components
 from tessella.runtime import table
 
 
@@ -29,11 +30,16 @@ def op8_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_mcd": op2_quality_mcd,
         "op3_langid_ftrl": op3_langid_ftrl,
         "op8_toxicity_nnpu": op8_toxicity_nnpu,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_secret_scan": op10_secret_scan,
     }
 
