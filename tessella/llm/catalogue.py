@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm.quality_mcd import quality_verdicts
 from tessella.llm.secret_scan import digest, scan_secrets
 from tessella.llm.langid_ftrl import identify
 from tessella.llm.toxicity_nnpu import score_toxicity
 from tessella.llm.jaccard_join import jaccard_components
+from tessella.llm.knn_join import exact_top_k
 from tessella.runtime import table
 
 
@@ -34,10 +36,15 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(100)) == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_mcd": op2_quality_mcd,
         "op3_langid_ftrl": op3_langid_ftrl,
+        "op4_knn_join": op4_knn_join,
         "op8_toxicity_nnpu": op8_toxicity_nnpu,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_secret_scan": op10_secret_scan,
@@ -45,4 +52,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_knn_join": OP4_SQL}
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
