@@ -10,8 +10,8 @@ document gets the least key of its component of links.
    ``n - ceil(0.8 n) + l``. A document whose prefix would meet many others by the sketch's estimate
    gets a longer prefix (larger ``l``), and a pair needs ``min`` of both ``l`` in common.
 3. Prefix shingles are dealt by hash and streamed in order. In each bucket of two or more documents
-   the one with the least id is the hub. Documents are first verified against hubs, which joins a
-   group of n near copies by n edges instead of n^2.
+   those with the ``hubs`` least ids (hashes, so at random) are hubs. Documents are first verified
+   against hubs, which joins a group of n near copies by a multiple of n edges instead of n^2.
 4. What is left are pairs of different components in one bucket. A bucket's largest component is only
    met with the rest, never with itself. Pairs pass a bound on the symmetric difference by histograms
    of hashes (exact: it never rejects a link), then need enough shared prefix shingles, then are
@@ -54,7 +54,11 @@ class JoinConfig:
     frequent: int = 64
     #: most shared prefix shingles that are asked for
     max_matches: int = 8
-    bins: int = 64
+    #: bins of a set's histogram of hashes, and of the coarse one that goes with prefix rows
+    bins: int = 256
+    coarse_bins: int = 32
+    #: members of a bucket that all its others are verified against first
+    hubs: int = 4
     #: rows of keys that may be broadcast; beyond it texts are joined by a shuffle
     broadcast_keys: int = 1_000_000
 
@@ -77,7 +81,7 @@ def _set_id(tokens: np.ndarray) -> int:
 
 
 def _summarize(config: JoinConfig):
-    width = 1 << config.sketch_bits
+    width, shorts = 1 << config.sketch_bits, pa.list_(pa.int16())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(config.sketch_rows * width, np.int64)
@@ -92,26 +96,27 @@ def _summarize(config: JoinConfig):
 
         key_type = pa.null()
         for batch in batches:
-            key_type, n, ids, hist = batch.schema.types[0], [], [], []
+            key_type, n, ids, hist, coarse = batch.schema.types[0], [], [], [], []
             for data in texts(batch.column(1)):
                 tokens = shingle_set(data, config.words)
                 n.append(len(tokens))
                 ids.append(_set_id(tokens) if len(tokens) else None)
                 hist.append(_histogram(tokens, config.bins) if len(tokens) else None)
+                coarse.append(_histogram(tokens, config.coarse_bins) if len(tokens) else None)
                 held.append(tokens)
                 if sum(map(len, held[-64:])) > 1 << 19 or len(held) > 2000:
                     pour()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(hist, pa.list_(pa.int16())), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())],
-                names=["key", "n", "set_id", "hist", "slot", "v"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(hist, shorts), pa.array(coarse, shorts), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())],
+                names=["key", "n", "set_id", "hist", "coarse", "slot", "v"],
             )
         if held:
             pour()
         at = np.flatnonzero(sketch)
         if len(at):
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(at), key_type), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.list_(pa.int16())), pa.array(at.astype(np.int32)), pa.array(sketch[at])],
-                names=["key", "n", "set_id", "hist", "slot", "v"],
+                [pa.nulls(len(at), key_type), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), shorts), pa.nulls(len(at), shorts), pa.array(at.astype(np.int32)), pa.array(sketch[at])],
+                names=["key", "n", "set_id", "hist", "coarse", "slot", "v"],
             )
 
     return run
@@ -169,34 +174,53 @@ def _prefixes(sketch: np.ndarray, noise: float, config: JoinConfig):
     return run
 
 
-def _buckets(batches):
-    """Rows of tokens that two or more sets have, with the least set id as hub.
+def _buckets(n_hubs: int, percent: int):
+    """Rows of tokens that two or more sets have, each with those hubs of its bucket that come before
+    it and may link by size. Hubs are the bucket's first members.
 
     Input is sorted by (token, set_id). The last row of each batch waits for the next batch, together
-    with its hub; nothing else is carried, however long a run of equal tokens is."""
-    names = ["token", "set_id", "n", "m", "hub", "hub_n"]
-    waiting, hub_of, earlier = None, None, False  # a row, its (hub, hub_n), whether its run has earlier rows
-    for batch in batches:
-        cols = [c.to_numpy() for c in batch.columns]
-        if waiting is not None:
-            cols = [np.append(np.array([x], c.dtype), c) for x, c in zip(waiting, cols, strict=True)]
-        fresh = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
-        token, ids, n, m = cols = [c[fresh] for c in cols]  # the same set from another task counts once
-        as_before = np.append(earlier, token[1:] == token[:-1])
-        as_next = np.append(token[1:] == token[:-1], False)
-        starts = np.append(True, token[1:] != token[:-1])
-        head = np.flatnonzero(starts)[np.cumsum(starts) - 1]
-        hub, hub_n = ids[head], n[head]
-        if earlier:
-            first = head == 0
-            hub, hub_n = np.where(first, hub_of[0], hub), np.where(first, hub_of[1], hub_n).astype(n.dtype)
-        at = np.flatnonzero((as_before | as_next)[:-1])
-        waiting, hub_of, earlier = [c[-1] for c in cols], (hub[-1], hub_n[-1]), bool(as_before[-1])
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in (token, ids, n, m, hub, hub_n)], names=names)
-    if waiting is not None and earlier:
-        last = [np.array([x]) for x in (*waiting, *hub_of)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=names)
+    with its bucket's hubs; nothing else is carried, however long a run of equal tokens is."""
+    lists = pa.list_(pa.int64())
+
+    def emit(at, cols, hubs):
+        own = [np.unique(h[ok]) for h, ok in zip(*(x[at] for x in hubs), strict=True)]
+        return pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in cols), pa.array(own, lists)], names=["token", "set_id", "n", "m", "hubs"])
+
+    def run(batches):
+        waiting, known, earlier = None, np.empty((0, 2), np.int64), 0  # a row; its bucket's (hub, size) so far; how many rows came before
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            if waiting is not None:
+                cols = [np.append(np.array([x], c.dtype), c) for x, c in zip(waiting, cols, strict=True)]
+            fresh = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
+            token, ids, n, _ = cols = [c[fresh] for c in cols]  # the same set from another task counts once
+            starts = np.append(True, token[1:] != token[:-1])
+            head = np.flatnonzero(starts)[np.cumsum(starts) - 1]
+            before = np.arange(len(token)) - head + np.where(head == 0, earlier, 0)  # members before this row
+            hub, ok = np.zeros((len(token), n_hubs), np.int64), np.zeros((len(token), n_hubs), bool)
+            for k in range(n_hubs):
+                # the k-th member of the bucket is in this batch, or among the known ones of the first bucket
+                at = np.minimum(head + k - np.where(head == 0, earlier, 0), len(token) - 1)
+                old = (head == 0) & (k < len(known))
+                h = np.where(old, known[k, 0] if k < len(known) else 0, ids[np.maximum(at, 0)])
+                size = np.where(old, known[k, 1] if k < len(known) else 0, n[np.maximum(at, 0)])
+                hub[:, k], ok[:, k] = h, (k < before) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n))
+            more = np.append(token[1:] == token[:-1], False)
+            rows = np.flatnonzero((before > 0) | more)
+            rows = rows[rows < len(token) - 1]
+            final = len(token) - 1
+            first = head[final]
+            mine = known if first == 0 else known[:0]
+            members = np.stack([ids[first : final], n[first : final].astype(np.int64)], axis=1)
+            known, earlier = np.concatenate([mine, members])[:n_hubs], int(before[final])
+            waiting = [c[final] for c in cols]
+            last = ([c[final:] for c in cols], (hub[final:], ok[final:]))
+            if len(rows):
+                yield emit(rows, cols, (hub, ok))
+        if waiting is not None and earlier:
+            yield emit(np.array([0]), *last)
+
+    return run
 
 
 def _may_link(n_a: Column, n_b: Column, hist_a: Column, hist_b: Column, percent: int) -> Column:
@@ -208,6 +232,13 @@ def _may_link(n_a: Column, n_b: Column, hist_a: Column, hist_b: Column, percent:
     return sizes & ((100 + percent) * apart <= (100 - percent) * (n_a + n_b))
 
 
+def _passing(pairs: DataFrame, sets: DataFrame, config: JoinConfig) -> DataFrame:
+    """Pairs (a, b) that their fine histograms don't rule out."""
+    side = lambda x: sets.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("hist").alias(f"h_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(_may_link(F.col("n_a"), F.col("n_b"), F.col("h_a"), F.col("h_b"), config.percent)).select("a", "b")
+
+
 def _set_arrays(config: JoinConfig):
     def run(batches):
         for batch in batches:
@@ -244,7 +275,7 @@ def jaccard_components(docs: DataFrame, config: JoinConfig = JoinConfig(), key:
     plain = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = docs.schema[key].dataType.simpleString()
     summary = materialize(
-        plain.mapInArrow(_summarize(config), f"key {kind}, n long, set_id long, hist array<smallint>, slot int, v long"), "summary"
+        plain.mapInArrow(_summarize(config), f"key {kind}, n long, set_id long, hist array<smallint>, coarse array<smallint>, slot int, v long"), "summary"
     )
     rows = summary.filter(F.col("slot").isNull()).select("key", "n", "set_id")
     width = 1 << config.sketch_bits
@@ -254,22 +285,16 @@ def jaccard_components(docs: DataFrame, config: JoinConfig = JoinConfig(), key:
     sketch = sketch.reshape(config.sketch_rows, width)
     noise = max(float(config.frequent), 4 * float(np.sqrt(np.median((sketch.astype(float) ** 2).mean(axis=1)))))
     sets = materialize(
-        summary.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("key").alias("first_key"), F.first("n").alias("n"), F.first("hist").alias("hist")), "vertices"
+        summary.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("key").alias("first_key"), F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("coarse").alias("coarse")), "vertices"
     )
 
     prefixes = plain.select("text").mapInArrow(_prefixes(sketch, noise, config), "token long, set_id long, n int, m tinyint")
     dealt = prefixes.repartition("token").sortWithinPartitions("token", "set_id")
     buckets = materialize(
-        dealt.mapInArrow(_buckets, "token long, set_id long, n int, m tinyint, hub long, hub_n int"), "buckets"
-    )
-    hist = sets.select("set_id", "hist")
-    near_hub = (
-        buckets.filter((F.col("set_id") != F.col("hub")) & (100 * F.least("n", "hub_n") >= config.percent * F.greatest("n", "hub_n")))
-        .select("set_id", "hub", "n", "hub_n").distinct()
-        .join(hist, "set_id").join(hist.select(F.col("set_id").alias("hub"), F.col("hist").alias("hub_hist")), "hub")
-        .filter(_may_link(F.col("n"), F.col("hub_n"), F.col("hist"), F.col("hub_hist"), config.percent))
-        .select(F.col("set_id").alias("a"), F.col("hub").alias("b"))
+        dealt.mapInArrow(_buckets(config.hubs, config.percent), "token long, set_id long, n int, m tinyint, hubs array<long>"), "buckets"
     )
+    hubs = buckets.select("set_id", F.explode("hubs").alias("hub")).distinct().select(F.col("set_id").alias("a"), F.col("hub").alias("b"))
+    near_hub = _passing(hubs, sets, config)
     starred = materialize(_verified(near_hub, plain, sets, config), "links")
     grouped = materialize(connected_components(starred).withColumnRenamed("node", "set_id"), "groups")
 
@@ -278,20 +303,20 @@ def jaccard_components(docs: DataFrame, config: JoinConfig = JoinConfig(), key:
     )
     sizes = named.groupBy("token", "component").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("token").agg(F.count("*").alias("kinds"), F.max(F.struct("c", "component"))["component"].alias("main")).filter("kinds > 1")
-    open_rows = materialize(named.join(mixed.select("token", "main"), "token").join(hist, "set_id"), "open")
-    x = open_rows.filter("component != main").select(*(F.col(c).alias(f"x_{c}") for c in ("token", "set_id", "n", "m", "component", "hist")))
-    y = open_rows.select(*(F.col(c).alias(f"y_{c}") for c in ("token", "set_id", "n", "m", "component", "main", "hist")))
+    open_rows = materialize(named.join(mixed.select("token", "main"), "token").join(sets.select("set_id", "coarse"), "set_id"), "open")
+    x = open_rows.filter("component != main").select(*(F.col(c).alias(f"x_{c}") for c in ("token", "set_id", "n", "m", "component", "coarse")))
+    y = open_rows.select(*(F.col(c).alias(f"y_{c}") for c in ("token", "set_id", "n", "m", "component", "main", "coarse")))
     met = x.join(
         y,
         (F.col("x_token") == F.col("y_token")) & (F.col("x_component") != F.col("y_component"))
         & ((F.col("y_component") == F.col("y_main")) | (F.col("x_set_id") < F.col("y_set_id")))
-        & _may_link(F.col("x_n"), F.col("y_n"), F.col("x_hist"), F.col("y_hist"), config.percent),
+        & _may_link(F.col("x_n"), F.col("y_n"), F.col("x_coarse"), F.col("y_coarse"), config.percent),
     )
     rest = (
         met.groupBy(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b"))
         .agg(F.count("*").alias("shared"), F.first(F.least("x_m", "y_m")).alias("asked")).filter("shared >= asked")
     )
-    crossing = materialize(_verified(rest, plain, sets, config), "links")
+    crossing = materialize(_verified(_passing(rest, sets, config), plain, sets, config), "links")
     final = connected_components(starred.unionByName(crossing)).withColumnRenamed("node", "set_id")
     vertex = sets.select("set_id", "first_key").join(final, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     vertex = materialize(vertex, "vertices")

@@ -74,18 +74,20 @@ def test_repeated_null_and_clashing(spark):
 
 def test_buckets_stream_over_any_batches():
     rng = np.random.default_rng(0)
-    for _ in range(60):
-        rows = sorted((int(t), int(i)) for t, i in zip(rng.integers(0, 6, 30), rng.integers(0, 9, 30), strict=True))
-        cuts = sorted(rng.integers(0, 31, 5))
+    for _ in range(80):
+        rows = sorted((int(t), int(i)) for t, i in zip(rng.integers(0, 6, 40), rng.integers(1, 12, 40), strict=True))
+        cuts = sorted(rng.integers(0, 41, 6))
         batches = [
             pa.RecordBatch.from_arrays(
                 [pa.array([t for t, _ in part], pa.int64()), pa.array([i for _, i in part], pa.int64()), pa.array([i for _, i in part], pa.int32()), pa.array([1] * len(part), pa.int8())],
                 names=["token", "set_id", "n", "m"],
             )
-            for part in (rows[a:b] for a, b in zip([0, *cuts], [*cuts, 30], strict=True)) if part
+            for part in (rows[a:b] for a, b in zip([0, *cuts], [*cuts, 40], strict=True)) if part
         ]
-        got = sorted((r["token"], r["set_id"], r["hub"], r["hub_n"]) for b in _buckets(iter(batches)) for r in b.to_pylist())
+        got = sorted((r["token"], r["set_id"], r["n"], r["hubs"]) for b in _buckets(3, 50)(iter(batches)) for r in b.to_pylist())
         groups: dict[int, set[int]] = {}
         for t, i in rows:
             groups.setdefault(t, set()).add(i)
-        assert got == sorted((t, i, min(g), min(g)) for t, g in groups.items() if len(g) > 1 for i in g)
+        # the first three of a bucket are hubs of those after them that are at most twice as large
+        want = [(t, i, i, [h for h in sorted(g)[:3] if h < i and 2 * h >= i]) for t, g in groups.items() if len(g) > 1 for i in g]
+        assert got == sorted(want)
