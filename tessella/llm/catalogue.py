@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.quality_mcd import quality_verdicts
@@ -13,9 +13,22 @@ from tessella.llm.langid_ftrl import identify
 from tessella.llm.toxicity_nnpu import score_toxicity
 from tessella.llm.jaccard_join import jaccard_components
 from tessella.llm.knn_join import exact_top_k
+from tessella.llm.line_dedup import drop_boilerplate
+from tessella.llm.mixing import MixConfig, count_tokens, mix
 from tessella.runtime import table
 
 
+#: Target weights of the standard tables: domains are the sources' numbers modulo four.
+MIX = MixConfig(
+    percent=60, max_epochs=2, domain_weights={"d0": 4, "d1": 3, "d2": 2, "d3": 1}, lang_weights={"en": 5, "de": 2, "fr": 2, "es": 1}
+)
+
+
+def source_domain() -> Column:
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1)
+    return F.concat(F.lit("d"), F.when(number != "", F.pmod(number.cast("long"), F.lit(4)).cast("string")).otherwise(""))
+
+
 def op2_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -40,11 +53,26 @@ def op4_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(100)) == 0)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = drop_boilerplate(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), digest.alias("text_sha256"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs, source_domain(), MIX).select(
+        "doc_id", source_domain().alias("domain"), "lang", "source", count_tokens(F.col("text")).alias("n_tokens"), "epoch"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_quality_mcd": op2_quality_mcd,
         "op3_langid_ftrl": op3_langid_ftrl,
         "op4_knn_join": op4_knn_join,
+        "op6_mixing": op6_mixing,
         "op8_toxicity_nnpu": op8_toxicity_nnpu,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_secret_scan": op10_secret_scan,
@@ -52,7 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_knn_join": OP4_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_knn_join": OP4_SQL, "op6_mixing": OP6_SQL, "op9_jaccard_join": OP9_SQL}
 
 
 OP4_SQL = """
@@ -68,3 +96,84 @@ WITH v AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
+
+OP1_SQL = """
+WITH ws AS (SELECT ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS w),
+lines AS (SELECT coalesce('+' || source, '-') AS site, unnest(string_split(text, chr(10))) AS line FROM documents),
+gone AS (
+  SELECT coalesce(list(k), []) AS ks FROM (
+    SELECT trim(line, w) AS k FROM lines, ws WHERE trim(line, w) <> '' GROUP BY 1 HAVING count(DISTINCT site) >= 10)
+), parts AS (
+  SELECT doc_id, text, w, ks, string_split(text, chr(10)) AS p FROM documents, ws, gone
+), cut AS (
+  SELECT doc_id, w, text, p, list_filter(p, lambda x: NOT list_contains(ks, trim(x, w))) AS kept FROM parts
+)
+SELECT doc_id,
+  coalesce(len(list_filter(p, lambda x: trim(x, w) <> '')), 0)::BIGINT AS n_lines,
+  coalesce(len(p) - len(kept), 0)::BIGINT AS n_removed,
+  CASE WHEN text IS NOT NULL THEN coalesce(length(array_to_string(kept, chr(10))), 0) END::BIGINT AS n_chars,
+  CASE WHEN text IS NOT NULL THEN sha256(coalesce(array_to_string(kept, chr(10)), '')) END AS text_sha256
+FROM cut
+"""
+
+
+def _filled_sql(out: str, source: str, name: str, family: str, budget: str) -> str:
+    """Common table expressions that divide ``budget`` of each family among its children."""
+    order = f"PARTITION BY {family} ORDER BY cap / weight, {name}"
+    return f"""
+{out}_a AS (SELECT *, {family} AS fam,
+    coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws,
+    row_number() OVER ({order}) AS k FROM {source}),
+{out}_b AS (SELECT *, ({budget} - before) / ws AS level FROM {out}_a),
+{out}_c AS (SELECT fam, arg_min(level, k) FILTER (WHERE cap / weight > level) AS chosen FROM {out}_b GROUP BY fam),
+{out} AS (SELECT b.*, greatest(CASE WHEN chosen IS NULL THEN cap ELSE least(cap, floor(chosen * weight)::BIGINT) END, 0)::BIGINT AS {out}_budget
+    FROM {out}_b b JOIN {out}_c c ON b.fam = c.fam)"""
+
+
+OP6_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce('d' || CASE WHEN regexp_extract(source, '([0-9]+)$', 1) <> ''
+           THEN (regexp_extract(source, '([0-9]+)$', 1)::BIGINT % 4)::VARCHAR ELSE '' END, 'd') AS domain,
+         coalesce(lang, '') AS l, coalesce(source, '') AS s, lang, source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents
+), leaves AS (
+  SELECT domain, l, s, sum(tokens)::BIGINT AS tokens, (sum(tokens) * 2)::BIGINT AS cap FROM d GROUP BY ALL HAVING sum(tokens) > 0
+), dom AS (
+  SELECT domain, sum(cap)::BIGINT AS cap, CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END AS weight,
+         (SELECT sum(tokens) * 60 // 100 FROM leaves)::BIGINT AS b FROM leaves GROUP BY domain
+), {_filled_sql("fd", "dom", "domain", "1", "b")}, lan AS (
+  SELECT x.domain, l, sum(x.cap)::BIGINT AS cap, CASE l WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS weight,
+         any_value(fd_budget) AS b FROM leaves x JOIN fd ON fd.domain = x.domain GROUP BY x.domain, l
+), {_filled_sql("fl", "lan", "l", "domain", "b")}, src AS (
+  SELECT x.domain, x.l, s, x.tokens, x.cap, 1 AS weight, fl_budget AS b FROM leaves x JOIN fl ON fl.domain = x.domain AND fl.l = x.l
+), {_filled_sql("fs", "src", "s", "domain || chr(31) || l", "b")}, taken AS (
+  SELECT d.*, fs_budget // fs.tokens AS whole, fs_budget % fs.tokens AS rest,
+         md5('17:' || (fs_budget // fs.tokens) || ':' || doc_id) AS h
+  FROM d JOIN fs ON fs.domain = d.domain AND fs.l = d.l AND fs.s = d.s
+), run AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY domain, l, s ORDER BY h) AS upto FROM taken
+)
+SELECT doc_id, domain, lang, source, tokens AS n_tokens, unnest(range(0, (whole + (upto <= rest)::INT)::BIGINT)) AS epoch FROM run
+"""
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, t FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS t FROM w)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id
+"""
