@@ -54,8 +54,9 @@ class JoinConfig:
     frequent: int = 64
     #: most shared prefix shingles that are asked for
     max_matches: int = 8
-    #: bins of a set's histogram of hashes, and of the coarse one that goes with prefix rows
-    bins: int = 256
+    #: least bins of a set's histogram of hashes (it has one for every one or two shingles, a power
+    #: of two), and bins of the coarse one that goes with prefix rows
+    least_bins: int = 32
     coarse_bins: int = 32
     #: members of a bucket that all its others are verified against first
     hubs: int = 4
@@ -73,7 +74,19 @@ def _cells(tokens: np.ndarray, row: int, bits: int) -> tuple[np.ndarray, np.ndar
 
 
 def _histogram(tokens: np.ndarray, bins: int) -> np.ndarray:
-    return np.minimum(np.bincount((tokens & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 32767).astype(np.int16)
+    return np.minimum(np.bincount((tokens & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 127).astype(np.int8)
+
+
+def _bins(n: int, config: JoinConfig) -> int:
+    return max(config.least_bins, 1 << n.bit_length() - 1)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Least symmetric difference of two sets by their histograms; the finer one is folded."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    # counts stop at 127, also after folding, so that what is cut never adds to the difference
+    b = np.minimum(b.reshape(-1, len(a)).sum(axis=0, dtype=np.int64), 127)
+    return int(np.abs(a.astype(np.int64) - b).sum())
 
 
 def _set_id(tokens: np.ndarray) -> int:
@@ -81,7 +94,7 @@ def _set_id(tokens: np.ndarray) -> int:
 
 
 def _summarize(config: JoinConfig):
-    width, shorts = 1 << config.sketch_bits, pa.list_(pa.int16())
+    width, counts = 1 << config.sketch_bits, pa.list_(pa.int8())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(config.sketch_rows * width, np.int64)
@@ -101,13 +114,13 @@ def _summarize(config: JoinConfig):
                 tokens = shingle_set(data, config.words)
                 n.append(len(tokens))
                 ids.append(_set_id(tokens) if len(tokens) else None)
-                hist.append(_histogram(tokens, config.bins) if len(tokens) else None)
+                hist.append(_histogram(tokens, _bins(len(tokens), config)) if len(tokens) else None)
                 coarse.append(_histogram(tokens, config.coarse_bins) if len(tokens) else None)
                 held.append(tokens)
                 if sum(map(len, held[-64:])) > 1 << 19 or len(held) > 2000:
                     pour()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(hist, shorts), pa.array(coarse, shorts), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(hist, counts), pa.array(coarse, counts), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())],
                 names=["key", "n", "set_id", "hist", "coarse", "slot", "v"],
             )
         if held:
@@ -115,7 +128,7 @@ def _summarize(config: JoinConfig):
         at = np.flatnonzero(sketch)
         if len(at):
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(at), key_type), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), shorts), pa.nulls(len(at), shorts), pa.array(at.astype(np.int32)), pa.array(sketch[at])],
+                [pa.nulls(len(at), key_type), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), counts), pa.nulls(len(at), counts), pa.array(at.astype(np.int32)), pa.array(sketch[at])],
                 names=["key", "n", "set_id", "hist", "coarse", "slot", "v"],
             )
 
@@ -128,7 +141,9 @@ def estimates(tokens: np.ndarray, sketch: np.ndarray, config: JoinConfig) -> np.
     for r in range(config.sketch_rows):
         at, sign = _cells(tokens, r, config.sketch_bits)
         rows.append(sketch[r][at] * sign)
-    return np.maximum(np.median(np.array(rows), axis=0), 1)
+    rows = np.sort(np.array(rows), axis=0) if len(rows) != 3 else rows
+    middle = np.maximum(np.minimum(rows[0], rows[1]), np.minimum(np.maximum(rows[0], rows[1]), rows[2])) if len(rows) == 3 else rows[len(rows) // 2]
+    return np.maximum(middle, 1)
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -141,11 +156,13 @@ def prefix(tokens: np.ndarray, sketch: np.ndarray, noise: float, config: JoinCon
     n = len(tokens)
     need = least_overlap(n, config.percent)
     est = estimates(tokens, sketch, config)
-    rank = np.where(est > noise, est, 0)
-    order = np.lexsort((tokens, rank))
+    often = np.flatnonzero(est > noise)
+    order = np.arange(n)  # tokens are sorted; those that aren't frequent stay in that order
+    if len(often):
+        order = np.append(np.delete(order, often), often[np.argsort(est[often], kind="stable")])
     first = order[: n - need + 1]
     # estimated candidates for each shingle of the shortest prefix; each fourfold asks for one match more
-    cost = rank[first].sum() / len(first)
+    cost = np.where(est > noise, est, 0)[first].sum() / len(first)
     matches = int(np.clip(1 + np.floor(np.log2(1 + cost) / 2), 1, min(config.max_matches, need)))
     return tokens[order[: n - need + matches]], matches
 
@@ -233,10 +250,20 @@ def _may_link(n_a: Column, n_b: Column, hist_a: Column, hist_b: Column, percent:
 
 
 def _passing(pairs: DataFrame, sets: DataFrame, config: JoinConfig) -> DataFrame:
-    """Pairs (a, b) that their fine histograms don't rule out."""
+    """Pairs (a, b) that sizes and fine histograms don't rule out."""
     side = lambda x: sets.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("hist").alias(f"h_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(_may_link(F.col("n_a"), F.col("n_b"), F.col("h_a"), F.col("h_b"), config.percent)).select("a", "b")
+
+    def keep(batches):
+        for batch in batches:
+            a, b, n_a, n_b = (batch.column(k).to_numpy() for k in range(4))
+            near = 100 * np.minimum(n_a, n_b) >= config.percent * np.maximum(n_a, n_b)
+            for k in np.flatnonzero(near):
+                apart = _apart(batch.column(4)[k].values.to_numpy(), batch.column(5)[k].values.to_numpy())
+                near[k] = (100 + config.percent) * apart <= (100 - config.percent) * (n_a[k] + n_b[k])
+            yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], names=["a", "b"])
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "h_a", "h_b")
+    return both.mapInArrow(keep, "a long, b long")
 
 
 def _set_arrays(config: JoinConfig):
@@ -275,7 +302,7 @@ def jaccard_components(docs: DataFrame, config: JoinConfig = JoinConfig(), key:
     plain = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = docs.schema[key].dataType.simpleString()
     summary = materialize(
-        plain.mapInArrow(_summarize(config), f"key {kind}, n long, set_id long, hist array<smallint>, coarse array<smallint>, slot int, v long"), "summary"
+        plain.mapInArrow(_summarize(config), f"key {kind}, n long, set_id long, hist array<tinyint>, coarse array<tinyint>, slot int, v long"), "summary"
     )
     rows = summary.filter(F.col("slot").isNull()).select("key", "n", "set_id")
     width = 1 << config.sketch_bits
@@ -301,10 +328,16 @@ def jaccard_components(docs: DataFrame, config: JoinConfig = JoinConfig(), key:
     named = buckets.select("token", "set_id", "n", "m").join(grouped, "set_id", "left").withColumn(
         "component", F.coalesce("component", "set_id")
     )
-    sizes = named.groupBy("token", "component").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("token").agg(F.count("*").alias("kinds"), F.max(F.struct("c", "component"))["component"].alias("main")).filter("kinds > 1")
-    open_rows = materialize(named.join(mixed.select("token", "main"), "token").join(sets.select("set_id", "coarse"), "set_id"), "open")
-    x = open_rows.filter("component != main").select(*(F.col(c).alias(f"x_{c}") for c in ("token", "set_id", "n", "m", "component", "coarse")))
+    prints = [F.bit_xor(F.xxhash64("set_id", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    sizes = named.groupBy("token", "component").agg(F.count("*").alias("c"), *prints)
+    mixed = sizes.groupBy("token").agg(
+        F.count("*").alias("kinds"), F.sum("c").alias("c"), F.max(F.struct("c", "component"))["component"].alias("main"),
+        F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"),
+    ).filter("kinds > 1")
+    # the shingles of a shared passage have the same members: one of them stands for all
+    chosen = mixed.groupBy("x0", "x1", "c", "main").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
+    open_rows = materialize(named.join(chosen.select("token", "main", "weight"), "token").join(sets.select("set_id", "coarse"), "set_id"), "open")
+    x = open_rows.filter("component != main").select(*(F.col(c).alias(f"x_{c}") for c in ("token", "set_id", "n", "m", "component", "coarse", "weight")))
     y = open_rows.select(*(F.col(c).alias(f"y_{c}") for c in ("token", "set_id", "n", "m", "component", "main", "coarse")))
     met = x.join(
         y,
@@ -314,7 +347,7 @@ def jaccard_components(docs: DataFrame, config: JoinConfig = JoinConfig(), key:
     )
     rest = (
         met.groupBy(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b"))
-        .agg(F.count("*").alias("shared"), F.first(F.least("x_m", "y_m")).alias("asked")).filter("shared >= asked")
+        .agg(F.sum("x_weight").alias("shared"), F.first(F.least("x_m", "y_m")).alias("asked")).filter("shared >= asked")
     )
     crossing = materialize(_verified(_passing(rest, sets, config), plain, sets, config), "links")
     final = connected_components(starred.unionByName(crossing)).withColumnRenamed("node", "set_id")
