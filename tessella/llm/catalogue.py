@@ -15,6 +15,7 @@ from tessella.llm.jaccard_join import jaccard_components
 from tessella.llm.knn_join import exact_top_k
 from tessella.llm.line_dedup import drop_boilerplate
 from tessella.llm.mixing import MixConfig, count_tokens, mix
+from tessella.llm.piece_sampling import decode, encode
 from tessella.runtime import table
 
 
@@ -66,6 +67,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode(table(spark, sf_dir, "documents"), with_digest=True)
+    back = F.sha2(F.col("decoded").cast("binary"), 256) == F.col("text_sha256")
+    ids = F.sha2(F.array_join("ids", ",").cast("binary"), 256)
+    return decode(encoded).select(
+        "doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), "log_prob", "log_inclusion", ids.alias("ids_sha256"), back.alias("round_trip")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -73,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_langid_ftrl": op3_langid_ftrl,
         "op4_knn_join": op4_knn_join,
         "op6_mixing": op6_mixing,
+        "op7_piece_sampling": op7_piece_sampling,
         "op8_toxicity_nnpu": op8_toxicity_nnpu,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_secret_scan": op10_secret_scan,
@@ -159,7 +170,8 @@ SELECT doc_id, domain, lang, source, tokens AS n_tokens, unnest(range(0, (whole
 
 OP9_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS ws
   FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, t FROM (
