@@ -49,17 +49,19 @@ class JoinConfig:
     words: int = 5
     #: count sketch: rows, and bits of the width
     sketch_rows: int = 3
-    sketch_bits: int = 16
-    #: shingles estimated above this (and above four deviations of the sketch) go last
-    frequent: int = 64
+    sketch_bits: int = 17
+    #: shingles estimated above this, and above so many deviations of the sketch, go last; a rare one
+    #: that is taken for frequent only changes the order, which stays the same for all documents
+    frequent: int = 8
+    deviations: float = 1.5
     #: most shared prefix shingles that are asked for
-    max_matches: int = 8
+    max_matches: int = 16
     #: least bins of a set's histogram of hashes (it has one for every one or two shingles, a power
     #: of two), and bins of the coarse one that goes with prefix rows
     least_bins: int = 32
     coarse_bins: int = 32
     #: members of a bucket that all its others are verified against first
-    hubs: int = 4
+    hubs: int = 12
     #: rows of keys that may be broadcast; beyond it texts are joined by a shuffle
     broadcast_keys: int = 1_000_000
 
@@ -310,7 +312,7 @@ def jaccard_components(docs: DataFrame, config: JoinConfig = JoinConfig(), key:
     sketch = np.zeros(config.sketch_rows * width, np.int64)
     sketch[cells["slot"].to_numpy()] = cells["v"].to_numpy()
     sketch = sketch.reshape(config.sketch_rows, width)
-    noise = max(float(config.frequent), 4 * float(np.sqrt(np.median((sketch.astype(float) ** 2).mean(axis=1)))))
+    noise = max(float(config.frequent), config.deviations * float(np.sqrt(np.median((sketch.astype(float) ** 2).mean(axis=1)))))
     sets = materialize(
         summary.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("key").alias("first_key"), F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("coarse").alias("coarse")), "vertices"
     )
