@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters handled at once; texts that are longer stand alone.
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Words up to this length are handled together; longer ones one by one in logarithms.
 TOGETHER = 40
 _CHUNK = re.compile(r" *[^ \n\t]+| +|[\n\t]")
@@ -147,11 +147,10 @@ def word_lattices(words: list[str], v: Vocabulary) -> Words:
         by_length.pop()
     ids = np.stack(by_length, axis=1) if by_length else np.full((total, 1), -1, np.int32)
     most = ids.shape[1]
-    weight = np.append(v.weights, -np.inf)[ids]
+    chance = np.append(np.exp(v.weights), 0.0)[ids]
     unknown = inside & (ids[:, 0] < 0)
     spelled = np.where(chars < 0x80, 1, np.where(chars < 0x800, 2, np.where(chars < 0x10000, 3, 4)))
-    weight[unknown, 0] = spelled[unknown] * v.byte_weight
-    chance = np.exp(weight)
+    chance[unknown, 0] = np.exp(spelled[unknown] * v.byte_weight)
     cdf = np.zeros((total, most), np.float64)
     state = np.zeros(total)
     state[base] = 1.0
@@ -168,7 +167,8 @@ def word_lattices(words: list[str], v: Vocabulary) -> Words:
         logs[0] = 0.0
         for j in range(1, length[w] + 1):
             n = min(j, most)
-            part = logs[j - n : j][::-1] + weight[base[w] + j, :n]
+            with np.errstate(divide="ignore"):
+                part = logs[j - n : j][::-1] + np.log(chance[base[w] + j, :n])
             top = part.max()
             mass = np.exp(part - top)
             logs[j] = top + np.log(mass.sum())
