@@ -84,6 +84,12 @@ def op5_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_report(rows.unionByName(extra))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -96,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity_nnpu": op8_toxicity_nnpu,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_secret_scan": op10_secret_scan,
+        "pipeline": pipeline,
     }
 
 

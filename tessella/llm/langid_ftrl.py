@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UND = "und"
 #: Characters handled at once, so that memory is bounded for texts of any length.
@@ -241,17 +242,42 @@ def _predictor(model: LangModel | None):
             got = [predict_text(t.as_py(), model) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64())],
-                names=[*batch.schema.names[:2], "lang_pred", "score"],
+                names=[batch.schema.names[0], "held_out", "lang_pred", "score"],
             )
 
     return predict
 
 
+def _tagger(model: LangModel | None, at: int):
+    def tag(batches):
+        for batch in batches:
+            got = [predict_text(t.as_py(), model) for t in batch.column(at)]
+            columns = [*batch.columns, pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
+
+    return tag
+
+
+def _learned(docs: DataFrame, config: LangConfig, key: str, text: str, lang: str) -> LangModel | None:
+    plain = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    learn = F.col("key").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    return train(plain.filter(~held_out(F.col("key")) & learn), config)
+
+
+def tag_languages(
+    docs: DataFrame, config: LangConfig = LangConfig(), key: str = "doc_id", text: str = "text", lang: str = "lang",
+    predicted: str = "lang_pred", score: str = "lang_score",
+) -> DataFrame:
+    """``docs`` with all its columns and two more: the predicted language and its score."""
+    fields = [T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)]
+    out = T.StructType([*fields, T.StructField("pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    tag = _tagger(_learned(docs, config, key, text, lang), docs.columns.index(text))
+    return docs.mapInArrow(tag, out).toDF(*docs.columns, predicted, score)
+
+
 def identify(docs: DataFrame, config: LangConfig = LangConfig(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, held_out, lang_pred, score) for every row; learned from rows that are not held out."""
-    plain = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    learn = plain.filter(~held_out(F.col("key")) & F.col("key").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    model = train(learn, config)
+    model = _learned(docs, config, key, text, lang)
     kind = docs.schema[key].dataType.simpleString()
-    out = plain.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "text")
+    out = docs.select(F.col(key), held_out(F.col(key)).alias("_held"), F.col(text).cast("string").alias("_text"))
     return out.mapInArrow(_predictor(model), f"`{key}` {kind}, held_out boolean, lang_pred string, score double")
