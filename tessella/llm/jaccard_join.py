@@ -57,9 +57,10 @@ class JoinConfig:
     #: most shared prefix shingles that are asked for
     max_matches: int = 16
     #: least bins of a set's histogram of hashes (it has one for every one or two shingles, a power
-    #: of two), and bins of the coarse one that goes with prefix rows
+    #: of two), and bins of the two coarse ones that go with prefix rows
     least_bins: int = 32
     coarse_bins: int = 32
+    medium_bins: int = 128
     #: members of a bucket that all its others are verified against first
     hubs: int = 12
     #: rows of keys that may be broadcast; beyond it texts are joined by a shuffle
@@ -111,27 +112,28 @@ def _summarize(config: JoinConfig):
 
         key_type = pa.null()
         for batch in batches:
-            key_type, n, ids, hist, coarse = batch.schema.types[0], [], [], [], []
+            key_type, n, ids, hist, coarse, medium = batch.schema.types[0], [], [], [], [], []
             for data in texts(batch.column(1)):
                 tokens = shingle_set(data, config.words)
                 n.append(len(tokens))
                 ids.append(_set_id(tokens) if len(tokens) else None)
                 hist.append(_histogram(tokens, _bins(len(tokens), config)) if len(tokens) else None)
                 coarse.append(_histogram(tokens, config.coarse_bins) if len(tokens) else None)
+                medium.append(_histogram(tokens, config.medium_bins) if len(tokens) else None)
                 held.append(tokens)
                 if sum(map(len, held[-64:])) > 1 << 19 or len(held) > 2000:
                     pour()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(hist, counts), pa.array(coarse, counts), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())],
-                names=["key", "n", "set_id", "hist", "coarse", "slot", "v"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(hist, counts), pa.array(coarse, counts), pa.array(medium, counts), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())],
+                names=["key", "n", "set_id", "hist", "coarse", "medium", "slot", "v"],
             )
         if held:
             pour()
         at = np.flatnonzero(sketch)
         if len(at):
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(at), key_type), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), counts), pa.nulls(len(at), counts), pa.array(at.astype(np.int32)), pa.array(sketch[at])],
-                names=["key", "n", "set_id", "hist", "coarse", "slot", "v"],
+                [pa.nulls(len(at), key_type), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), counts), pa.nulls(len(at), counts), pa.nulls(len(at), counts), pa.array(at.astype(np.int32)), pa.array(sketch[at])],
+                names=["key", "n", "set_id", "hist", "coarse", "medium", "slot", "v"],
             )
 
     return run
@@ -304,7 +306,7 @@ def jaccard_components(docs: DataFrame, config: JoinConfig = JoinConfig(), key:
     plain = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = docs.schema[key].dataType.simpleString()
     summary = materialize(
-        plain.mapInArrow(_summarize(config), f"key {kind}, n long, set_id long, hist array<tinyint>, coarse array<tinyint>, slot int, v long"), "summary"
+        plain.mapInArrow(_summarize(config), f"key {kind}, n long, set_id long, hist array<tinyint>, coarse array<tinyint>, medium array<tinyint>, slot int, v long"), "summary"
     )
     rows = summary.filter(F.col("slot").isNull()).select("key", "n", "set_id")
     width = 1 << config.sketch_bits
@@ -314,7 +316,7 @@ def jaccard_components(docs: DataFrame, config: JoinConfig = JoinConfig(), key:
     sketch = sketch.reshape(config.sketch_rows, width)
     noise = max(float(config.frequent), config.deviations * float(np.sqrt(np.median((sketch.astype(float) ** 2).mean(axis=1)))))
     sets = materialize(
-        summary.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("key").alias("first_key"), F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("coarse").alias("coarse")), "vertices"
+        summary.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("key").alias("first_key"), F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("coarse").alias("coarse"), F.first("medium").alias("medium")), "vertices"
     )
 
     prefixes = plain.select("text").mapInArrow(_prefixes(sketch, noise, config), "token long, set_id long, n int, m tinyint")
@@ -338,14 +340,15 @@ def jaccard_components(docs: DataFrame, config: JoinConfig = JoinConfig(), key:
     ).filter("kinds > 1")
     # the shingles of a shared passage have the same members: one of them stands for all
     chosen = mixed.groupBy("x0", "x1", "c", "main").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
-    open_rows = materialize(named.join(chosen.select("token", "main", "weight"), "token").join(sets.select("set_id", "coarse"), "set_id"), "open")
-    x = open_rows.filter("component != main").select(*(F.col(c).alias(f"x_{c}") for c in ("token", "set_id", "n", "m", "component", "coarse", "weight")))
-    y = open_rows.select(*(F.col(c).alias(f"y_{c}") for c in ("token", "set_id", "n", "m", "component", "main", "coarse")))
+    open_rows = materialize(named.join(chosen.select("token", "main", "weight"), "token").join(sets.select("set_id", "coarse", "medium"), "set_id"), "open")
+    x = open_rows.filter("component != main").select(*(F.col(c).alias(f"x_{c}") for c in ("token", "set_id", "n", "m", "component", "coarse", "medium", "weight")))
+    y = open_rows.select(*(F.col(c).alias(f"y_{c}") for c in ("token", "set_id", "n", "m", "component", "main", "coarse", "medium")))
     met = x.join(
         y,
         (F.col("x_token") == F.col("y_token")) & (F.col("x_component") != F.col("y_component"))
         & ((F.col("y_component") == F.col("y_main")) | (F.col("x_set_id") < F.col("y_set_id")))
-        & _may_link(F.col("x_n"), F.col("y_n"), F.col("x_coarse"), F.col("y_coarse"), config.percent),
+        & _may_link(F.col("x_n"), F.col("y_n"), F.col("x_coarse"), F.col("y_coarse"), config.percent)
+        & _may_link(F.col("x_n"), F.col("y_n"), F.col("x_medium"), F.col("y_medium"), config.percent),
     )
     rest = (
         met.groupBy(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b"))
