@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters handled at once; texts that are longer stand alone.
-PIECE = 1 << 20
+PIECE = 2 << 20
 #: Words up to this length are handled together; longer ones one by one in logarithms.
 TOGETHER = 40
 _CHUNK = re.compile(r" *[^ \n\t]+| +|[\n\t]")
@@ -116,66 +116,84 @@ def load_vocabulary(config: SampleConfig = SampleConfig()) -> Vocabulary:
 
 @dataclass
 class Words:
-    """Lattices of distinct words, end to end; row ``base[w] + j`` is the state after j characters."""
+    """Lattices of distinct words, end to end; state ``base[w] + j`` comes after j characters.
+
+    The pieces that end in a state are its edges ``first[state]`` to ``first[state + 1]``."""
 
     base: np.ndarray
     length: np.ndarray
-    cdf: np.ndarray  # rows x longest: running probability of the last piece's length being 1, 2, ...
-    ids: np.ndarray  # rows x longest: id of the piece of that length that ends here
+    first: np.ndarray
+    size: np.ndarray  # of edges: characters of the piece
+    ids: np.ndarray  # of edges: the piece, or -1 for a character in bytes
+    chance: np.ndarray  # of edges: probability of being the last piece of what ends in the state
+    cdf: np.ndarray  # of edges: running probability within the state; the last is one
+    end: np.ndarray  # of edges: the state
     chars: np.ndarray  # the character before each state
 
 
 def word_lattices(words: list[str], v: Vocabulary) -> Words:
     length = np.array([len(w) for w in words], np.int64)
     base = np.cumsum(length + 1) - (length + 1)
-    total, most = int((length + 1).sum()), v.longest
+    total = int((length + 1).sum())
     chars = np.zeros(total, np.uint64)
     inside = np.ones(total, bool)
     inside[base] = False  # state 0 of each word
     chars[inside] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    by_length: list[np.ndarray] = []
     place = np.arange(total) - np.repeat(base, length + 1)  # characters before each state
     h = np.zeros(total, np.uint64)
-    for n in range(1, min(most, int(length.max(initial=0))) + 1):
+    ends, sizes, ids = [], [], []
+    for n in range(1, min(v.longest, int(length.max(initial=0))) + 1):
         # h[s]: hash of the n characters after state s; it ends at state s + n
         starts = np.flatnonzero(place[n:] >= n)
-        h[starts] = h[starts] * _BASE + (chars[starts + n] + np.uint64(1))
-        found = np.full(total, -1, np.int32)
-        found[starts + n] = v.find(_scramble(h[starts]))
-        by_length.append(found)
-    while len(by_length) > 1 and (by_length[-1] < 0).all():
-        by_length.pop()
-    ids = np.stack(by_length, axis=1) if by_length else np.full((total, 1), -1, np.int32)
-    most = ids.shape[1]
-    chance = np.append(np.exp(v.weights), 0.0)[ids]
-    unknown = inside & (ids[:, 0] < 0)
-    spelled = np.where(chars < 0x80, 1, np.where(chars < 0x800, 2, np.where(chars < 0x10000, 3, 4)))
-    chance[unknown, 0] = np.exp(spelled[unknown] * v.byte_weight)
-    cdf = np.zeros((total, most), np.float64)
-    state = np.zeros(total)
+        grown = h[starts] * _BASE + (chars[starts + n] + np.uint64(1))
+        h[starts] = grown
+        found = v.find(_scramble(grown))
+        hit = np.flatnonzero(found >= 0)
+        end, piece = starts[hit] + n, found[hit]
+        if n == 1:  # a character that is no piece goes in bytes
+            alone = np.ones(total, bool)
+            alone[end] = False
+            odd = np.flatnonzero(alone & inside)
+            end, piece = np.append(end, odd), np.append(piece, np.full(len(odd), -1, np.int32))
+        ends.append(end)
+        sizes.append(np.full(len(end), n, np.int64))
+        ids.append(piece)
+    end, size, piece = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (ends, sizes, ids))
+    order = np.argsort(end, kind="stable")
+    end, size, piece = end[order], size[order], piece[order].astype(np.int32)
+    first = np.zeros(total + 1, np.int64)
+    np.cumsum(np.bincount(end, minlength=total), out=first[1:])
+    weight = v.weights[piece]
+    odd = np.flatnonzero(piece < 0)
+    c = chars[end[odd]]
+    weight[odd] = np.where(c < 0x80, 1, np.where(c < 0x800, 2, np.where(c < 0x10000, 3, 4))) * v.byte_weight
+    chance, state = np.exp(weight), np.zeros(total)
     state[base] = 1.0
-    short = length <= TOGETHER
-    for j in range(1, min(TOGETHER, int(length.max(initial=0))) + 1):
-        rows = base[short & (length >= j)] + j
-        mass = np.zeros((len(rows), most))
-        for n in range(1, min(j, most) + 1):
-            np.multiply(state[rows - n], chance[rows, n - 1], out=mass[:, n - 1])
-        state[rows] = mass.sum(axis=1)
-        cdf[rows] = np.cumsum(mass, axis=1) / state[rows][:, None]
-    for w in np.flatnonzero(~short):
-        logs = np.full(length[w] + 1, -np.inf)
-        logs[0] = 0.0
+    # edges of short words by the place of their state; places of long words count as beyond
+    turn = np.where(np.repeat(length <= TOGETHER, length + 1), place, TOGETHER + 1).astype(np.int16)[end]
+    turns = np.argsort(turn, kind="stable")
+    bounds = np.searchsorted(turn[turns], np.arange(1, TOGETHER + 2))
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        e = turns[a:b]
+        if not len(e):
+            continue
+        mass = state[end[e] - size[e]] * chance[e]
+        starts = np.flatnonzero(np.append(True, end[e][1:] != end[e][:-1]))
+        sums = np.add.reduceat(mass, starts)
+        state[end[e][starts]] = sums
+        chance[e] = mass / np.repeat(sums, np.diff(np.append(starts, len(e))))
+    for w in np.flatnonzero(length > TOGETHER):
+        logs = np.zeros(length[w] + 1)
         for j in range(1, length[w] + 1):
-            n = min(j, most)
-            with np.errstate(divide="ignore"):
-                part = logs[j - n : j][::-1] + np.log(chance[base[w] + j, :n])
-            top = part.max()
-            mass = np.exp(part - top)
-            logs[j] = top + np.log(mass.sum())
-            cdf[base[w] + j, :n] = np.cumsum(mass) / mass.sum()
-            cdf[base[w] + j, n:] = 1.0
-    cdf[cdf >= cdf[:, -1:].copy()] = 1.0  # ends of rows exactly one
-    return Words(base, length, cdf, ids, chars)
+            e = slice(first[base[w] + j], first[base[w] + j + 1])
+            part = logs[j - size[e]] + weight[e]
+            mass = np.exp(part - part.max())
+            logs[j] = part.max() + np.log(mass.sum())
+            chance[e] = mass / mass.sum()
+    run = np.append(0.0, np.cumsum(chance))
+    cdf = run[1:] - run[first[end]]
+    cdf[first[1:][np.diff(first) > 0] - 1] = 1.0
+    return Words(base, length, first, size, piece, chance, cdf, end, chars)
 
 
 def _uniform(seeds: np.ndarray, *parts) -> np.ndarray:
@@ -185,67 +203,65 @@ def _uniform(seeds: np.ndarray, *parts) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
-def draw_words(w: Words, which: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+def draw_words(w: Words, which: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """A segmentation of each word from its distribution: log probabilities, and steps from the words'
-    ends backwards as (places in ``which``, lattice rows, piece lengths)."""
+    ends backwards as (places in ``which``, edges)."""
     logs = np.zeros(len(which))
-    at, left, steps, k = np.arange(len(which)), w.length[which].copy(), [], 0
+    at, state, steps, k = np.arange(len(which)), w.base[which] + w.length[which], [], 0
+    begin = w.base[which]
     while len(at):
-        rows = w.base[which[at]] + left[at]
-        table = w.cdf[rows]
-        u = _uniform(seeds[at], k)
-        n = (table <= u[:, None]).sum(axis=1) + 1
-        place, flat = np.arange(len(at)) * table.shape[1] + n - 1, table.ravel()
-        p = flat.take(place) - np.where(n > 1, flat.take(np.maximum(place - 1, 0)), 0.0)
-        logs[at] += np.log(p)
-        steps.append((at, rows, n))
-        left[at] -= n
-        at, k = at[left[at] > 0], k + 1
+        edge, u = w.first[state], _uniform(seeds[at], k)
+        later = np.flatnonzero(w.cdf[edge] <= u)
+        while len(later):
+            edge[later] += 1
+            later = later[w.cdf[edge[later]] <= u[later]]
+        logs[at] += np.log(w.chance[edge])
+        steps.append((at, edge))
+        state = state - w.size[edge]
+        more = np.flatnonzero(state > begin[at])
+        at, state, k = at[more], state[more], k + 1
     return logs, steps
 
 
-def piece_lengths(count: int, steps) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offset of each word, lattice row and length of each piece), pieces in reading order."""
+def in_order(count: int, steps) -> tuple[np.ndarray, np.ndarray]:
+    """(offset of each word, its edges in reading order)."""
     n = np.zeros(count, np.int64)
-    for at, _, _ in steps:
+    for at, _ in steps:
         n[at] += 1
     first = np.cumsum(n) - n
-    rows, sizes = np.empty(int(n.sum()), np.int64), np.empty(int(n.sum()), np.int64)
-    for k, (at, r, s) in enumerate(steps):
-        to = first[at] + n[at] - 1 - k
-        rows[to], sizes[to] = r, s
-    return np.append(first, len(rows)), rows, sizes
+    edges = np.empty(int(n.sum()), np.int64)
+    for k, (at, e) in enumerate(steps):
+        edges[first[at] + n[at] - 1 - k] = e
+    return np.append(first, len(edges)), edges
 
 
 def draw_other(w: Words, word: int, gone: list[tuple[int, ...]], uniforms: Iterator[float]) -> tuple[tuple[int, ...], float]:
-    """A segmentation of ``word`` other than those in ``gone`` (piece lengths from the end backwards),
-    from the distribution given that, and its unconditional log probability."""
-    left, path, log = int(w.length[word]), [], 0.0
-
-    def rest(seg: tuple[int, ...], at: int) -> float:
-        p = 1.0
-        for n in seg:
-            row = w.cdf[w.base[word] + at]
-            p *= row[n - 1] - (row[n - 2] if n > 1 else 0.0)
-            at -= n
-        return p
-
-    while left:
-        row = w.cdf[w.base[word] + left]
-        mass = np.diff(row, prepend=0.0)
-        open_ = mass.copy()
+    """A segmentation of ``word`` other than those in ``gone`` (edges from the end backwards), from the
+    distribution given that, and its unconditional log probability."""
+    state, path, log = int(w.base[word] + w.length[word]), [], 0.0
+    while state > w.base[word]:
+        lo, hi = int(w.first[state]), int(w.first[state + 1])
+        mass = w.chance[lo:hi].tolist()
+        left = list(mass)
         for seg in gone:
-            open_[seg[0] - 1] -= rest(seg, left)
+            p = 1.0
+            for e in seg:
+                p *= float(w.chance[e])
+            left[seg[0] - lo] -= p
         # differences of nearly equal sums: what has only excluded paths below it stays excluded
-        open_[open_ < 1e-15] = 0.0
-        if not open_.any():
+        left = [x if x >= 1e-15 else 0.0 for x in left]
+        if not any(left):
             return (), -np.inf
-        n = int(np.searchsorted(np.cumsum(open_) / open_.sum(), next(uniforms), side="right")) + 1
-        n = min(n, int(np.flatnonzero(open_)[-1]) + 1)
-        path.append(n)
-        log += float(np.log(mass[n - 1]))
-        gone = [seg[1:] for seg in gone if seg[0] == n and len(seg) > 1]
-        left -= n
+        u, k = next(uniforms) * sum(left), 0
+        while k < len(left) - 1 and (u >= left[k] or not left[k]):
+            u -= left[k]
+            k += 1
+        while not left[k]:  # rounding at the end of the sums
+            k -= 1
+        path.append(lo + k)
+        log += float(np.log(mass[k]))
+        gone = [seg[1:] for seg in gone if seg[0] == lo + k and len(seg) > 1]
+        state -= int(w.size[lo + k])
     return tuple(path), log
 
 
@@ -265,9 +281,8 @@ def _log_rest(log_p: np.ndarray) -> np.ndarray:
 
 @dataclass
 class _Path:
-    rows: np.ndarray  # pieces in reading order
-    sizes: np.ndarray
-    first: np.ndarray  # offset of each word's pieces
+    edges: np.ndarray  # in reading order
+    first: np.ndarray  # offset of each word's edges
     logs: np.ndarray  # of each word
     bound: float  # its perturbed log probability
     queue: np.ndarray  # bounds of what was passed over at each word
@@ -275,7 +290,7 @@ class _Path:
     gone: tuple[tuple[int, ...], ...] = ()  # segmentations of word ``branch`` that are out already
 
     def word(self, i: int) -> tuple[int, ...]:
-        return tuple(int(x) for x in self.sizes[self.first[i] : self.first[i + 1]][::-1])
+        return tuple(self.edges[self.first[i] : self.first[i + 1]][::-1].tolist())
 
 
 def sample_texts(keys: list[int], chunks: list[list[str]], v: Vocabulary, config: SampleConfig) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -294,17 +309,17 @@ def sample_texts(keys: list[int], chunks: list[list[str]], v: Vocabulary, config
     owner = np.repeat(np.arange(len(chunks)), counts)
     place = np.arange(len(flat)) - np.repeat(starts, counts)
 
-    def tails(jobs: list[tuple[int, int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Draws of (text, from word, sample) each: logs, first, rows, sizes of the words from there."""
+    def tails(jobs: list[tuple[int, int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Draws of (text, from word, sample) each: logs, first, edges of the words from there."""
         at = np.concatenate([np.arange(starts[t] + i, ends[t]) for t, i, _ in jobs]) if jobs else np.empty(0, np.int64)
         turn = np.repeat([s for *_, s in jobs], [ends[t] - starts[t] - i for t, i, _ in jobs]).astype(np.uint64)
         logs, steps = draw_words(w, flat[at], _hashed(seeds[owner[at]], turn, place[at]))
-        first, rows, sizes = piece_lengths(len(at), steps)
+        first, edges = in_order(len(at), steps)
         k = 0
         for t, i, _ in jobs:
             n = int(ends[t] - starts[t] - i)
             a, b = first[k], first[k + n]
-            yield logs[k : k + n], first[k : k + n + 1] - a, rows[a:b], sizes[a:b]
+            yield logs[k : k + n], first[k : k + n + 1] - a, edges[a:b]
             k += n
 
     def queued(t: int, sample: int, i: int, before: float, logs: np.ndarray, bound: float) -> np.ndarray:
@@ -313,9 +328,9 @@ def sample_texts(keys: list[int], chunks: list[list[str]], v: Vocabulary, config
         return _below(cum + _log_rest(logs), np.full(len(logs), bound), u)
 
     paths: list[list[_Path]] = []
-    for t, (logs, first, rows, sizes) in enumerate(tails([(t, 0, 0) for t in range(len(chunks))])):
+    for t, (logs, first, edges) in enumerate(tails([(t, 0, 0) for t in range(len(chunks))])):
         bound = float(-np.log(-np.log(_uniform(seeds[t : t + 1], 1 << 41)[0])))
-        paths.append([_Path(rows, sizes, first, logs, bound, queued(t, 0, 0, 0.0, logs, bound))])
+        paths.append([_Path(edges, first, logs, bound, queued(t, 0, 0, 0.0, logs, bound))])
     for sample in range(1, config.samples):
         jobs, fresh = [], []
         for t, own in enumerate(paths):
@@ -327,27 +342,23 @@ def sample_texts(keys: list[int], chunks: list[list[str]], v: Vocabulary, config
             if not np.isfinite(bound):
                 continue
             gone = (p.word(i), *(p.gone if i == p.branch else ()))
-            uniforms = (float(_uniform(seeds[t : t + 1], 1 << 42, sample, k)[0]) for k in range(1 << 62))
             word = int(flat[starts[t] + i])
+            uniforms = iter(_uniform(np.full(int(w.length[word]), seeds[t], np.uint64), 1 << 42, sample, np.arange(w.length[word])).tolist())
             seg, log = draw_other(w, word, list(gone), uniforms)
             p.queue[i] = -np.inf
             if not seg:
                 continue
             jobs.append((t, i + 1, sample))
-            fresh.append((p, i, bound, gone, seg, log, word))
-        for (t, _, _), (p, i, bound, gone, seg, log, word), (logs, first, rows, sizes) in zip(jobs, fresh, tails(jobs), strict=True):
-            back, at = [], int(w.base[word] + w.length[word])
-            for n in seg:
-                back.append(at)
-                at -= n
+            fresh.append((p, i, bound, gone, seg, log))
+        for (t, _, _), (p, i, bound, gone, seg, log), (logs, first, edges) in zip(jobs, fresh, tails(jobs), strict=True):
             head = p.first[i]
             before = float(p.logs[:i].sum())
-            out = sum(np.exp(_segment_log(w, word, g)) for g in gone) + np.exp(log)
+            out = sum(float(w.chance[list(g)].prod()) for g in gone) + np.exp(log)
             here = _below(np.array([before + (np.log(1 - out) if 1 - out > 1e-13 else -np.inf)]), np.array([bound]), _uniform(seeds[t : t + 1], 1 << 43, sample))
             queue = np.concatenate([np.full(i, -np.inf), here, queued(t, sample, i + 1, before + log, logs, bound)])
             paths[t].append(
                 _Path(
-                    np.concatenate([p.rows[:head], back[::-1], rows]).astype(np.int64), np.concatenate([p.sizes[:head], seg[::-1], sizes]).astype(np.int64),
+                    np.concatenate([p.edges[:head], seg[::-1], edges]).astype(np.int64),
                     np.concatenate([p.first[: i + 1], first + head + len(seg)]), np.concatenate([p.logs[:i], [log], logs]), bound, queue, i, gone,
                 )
             )
@@ -358,7 +369,7 @@ def sample_texts(keys: list[int], chunks: list[list[str]], v: Vocabulary, config
         for p in own:
             log = float(p.logs.sum())
             x = log - limit
-            row.append((_ids(w, p.rows, p.sizes, v), log, p.bound, 0.0 if not np.isfinite(limit) else x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 700)))))))
+            row.append((_ids(w, p.edges, v), log, p.bound, 0.0 if not np.isfinite(limit) else x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 700)))))))
         results.append(row)
     return results
 
@@ -368,20 +379,11 @@ def _hashed(seeds: np.ndarray, turn: np.ndarray, place: np.ndarray) -> np.ndarra
     return _scramble((h ^ place.astype(np.uint64)) * _BASE + np.uint64(2))
 
 
-def _segment_log(w: Words, word: int, seg: tuple[int, ...]) -> float:
-    at, log = int(w.length[word]), 0.0
-    for n in seg:
-        row = w.cdf[w.base[word] + at]
-        log += float(np.log(row[n - 1] - (row[n - 2] if n > 1 else 0.0)))
-        at -= n
-    return log
-
-
-def _ids(w: Words, rows: np.ndarray, sizes: np.ndarray, v: Vocabulary) -> np.ndarray:
-    ids = w.ids.ravel().take(rows * w.ids.shape[1] + sizes - 1)
+def _ids(w: Words, edges: np.ndarray, v: Vocabulary) -> np.ndarray:
+    ids = w.ids[edges]
     spelled = np.flatnonzero(ids < 0)
     if len(spelled):
-        raw = [chr(c).encode("utf-8", "surrogatepass") for c in w.chars[rows[spelled]].tolist()]
+        raw = [chr(c).encode("utf-8", "surrogatepass") for c in w.chars[w.end[edges[spelled]]].tolist()]
         times = np.ones(len(ids), np.int64)
         times[spelled] = [len(x) for x in raw]
         ids = np.repeat(ids, times)
