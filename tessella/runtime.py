@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,16 @@ def session(master: str | None = None, cores: int | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Lets Python workers of a local session import this package, also where the driver found it by
+    ``sys.path`` alone. A cluster gets it with ``--py-files`` or on its workers' path."""
+    if spark.sparkContext.master.startswith("local"):
+        root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster shares for cut lineage (``spark.checkpoint.dir``).
 
