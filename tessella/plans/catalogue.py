@@ -93,7 +93,8 @@ def similar_pairs(spark, d):
 
 
 def coverage_pairs(spark, d):
-    f = files(spark, d).filter("doc_id < 400").select("doc_id", T.shingle_tokens(F.col("text")).alias("t"))
+    """Both measures of every document and the one with the next id."""
+    f = files(spark, d).select("doc_id", T.shingle_tokens(F.col("text")).alias("t"))
     a = f.select((F.col("doc_id") + 1).alias("b"), F.col("doc_id").alias("a"), F.col("t").alias("ta"))
     pairs = a.join(f.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
     return pairs.select("a", "b", T.coverage(F.col("ta"), F.col("tb")).alias("a_to_b"), T.dice(F.col("ta"), F.col("tb")).alias("dice"))
