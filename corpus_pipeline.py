@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again
 for the next. All but the last return the columns of ``documents``.
 
-Defined results: rows without an id can't be told apart and go with the near duplicates; rows with null text or without any letter are rejected by the first stage; a text all
+Defined results: rows without an id, and rows that share one, are told apart by their texts; rows with null text or without any letter are rejected by the first stage; a text all
 of whose lines are boilerplate stays as an empty one; equal rows are copies, of which the near-duplicate
 stage keeps one; an empty table goes through all stages.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.catalogue import source_domain
-from tessella.llm.jaccard_join import jaccard_components
+from tessella.llm.jaccard_join import surplus, text_hash
 from tessella.llm.langid_ftrl import UND, tag_languages
 from tessella.llm.line_dedup import drop_boilerplate
 from tessella.llm.mixing import MixConfig, mix
@@ -39,20 +39,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id. Texts stay in place
-    while the ids that go are few enough to broadcast; beyond that they are shuffled by id."""
-    groups = jaccard_components(docs)
-    gone = materialize(groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "gone")
-    side = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(side, "doc_id", "left_anti")
-    twice = materialize(kept.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
+    """One row of each group of near duplicates: the one with the least id, then the least hash of its
+    text; rows without an id come last, but are documents as any other. Rows are told apart by id and
+    text. Texts stay in place while the pairs of both that go are few enough to broadcast; beyond that
+    they are shuffled by them."""
+    marks = materialize(surplus(docs).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash"), "marks")
+    side = F.broadcast(marks) if marks.count() <= 1_000_000 else marks
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_hash"))
+    single = docs.join(side, same, "left_anti")
+    twice = marks.filter("NOT goes")
     if twice.isEmpty():
-        return kept.select(*docs.columns)
-    # rows that repeat an id which stays: one of them, by their text
-    repeated = kept.join(twice, "doc_id", "left_semi")
-    once = repeated.groupBy("doc_id").agg(*(F.min_by(c, F.coalesce("text", F.lit(""))).alias(c) for c in docs.columns if c != "doc_id"))
-    single = kept.join(twice, "doc_id", "left_anti")
-    return single.select(*docs.columns).unionByName(once.select(*docs.columns))
+        return single
+    # rows that repeat an id and a text which stay: one of them; of wordless texts only equal rows are copies
+    repeated = docs.join(F.broadcast(twice) if side is not marks else twice, same)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = repeated.filter("NOT wordless").groupBy("doc_id", "_hash").agg(F.min(F.struct(*rest)).alias("rest"), F.first("text").alias("text"))
+    once = once.select("doc_id", "text", "rest.*").select(*docs.columns)
+    bare = repeated.filter("wordless").select(*docs.columns).distinct()
+    return single.unionByName(once).unionByName(bare)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,16 +124,16 @@ def _summarize(config: JoinConfig):
                 if sum(map(len, held[-64:])) > 1 << 19 or len(held) > 2000:
                     pour()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(hist, counts), pa.array(coarse, counts), pa.array(medium, counts), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())],
-                names=["key", "n", "set_id", "hist", "coarse", "medium", "slot", "v"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(hist, counts), pa.array(coarse, counts), pa.array(medium, counts), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())],
+                names=["key", "text_hash", "n", "set_id", "hist", "coarse", "medium", "slot", "v"],
             )
         if held:
             pour()
         at = np.flatnonzero(sketch)
         if len(at):
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(at), key_type), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), counts), pa.nulls(len(at), counts), pa.nulls(len(at), counts), pa.array(at.astype(np.int32)), pa.array(sketch[at])],
-                names=["key", "n", "set_id", "hist", "coarse", "medium", "slot", "v"],
+                [pa.nulls(len(at), key_type), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), counts), pa.nulls(len(at), counts), pa.nulls(len(at), counts), pa.array(at.astype(np.int32)), pa.array(sketch[at])],
+                names=["key", "text_hash", "n", "set_id", "hist", "coarse", "medium", "slot", "v"],
             )
 
     return run
@@ -301,14 +301,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, config: JoinCo
     return both.filter(100 * o >= config.percent * (total - o)).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, config: JoinConfig = JoinConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) of every row of ``docs``."""
-    plain = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+def text_hash(text: str = "text") -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def _components(docs: DataFrame, config: JoinConfig, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, text_hash, n, set_id), and vertices (set_id, first_key, first, component); ``first``
+    is the least (no_key, key, text_hash) of a set's rows, those without a key last."""
+    plain = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), text_hash(text).alias("text_hash"))
     kind = docs.schema[key].dataType.simpleString()
     summary = materialize(
-        plain.mapInArrow(_summarize(config), f"key {kind}, n long, set_id long, hist array<tinyint>, coarse array<tinyint>, medium array<tinyint>, slot int, v long"), "summary"
+        plain.mapInArrow(_summarize(config), f"key {kind}, text_hash long, n long, set_id long, hist array<tinyint>, coarse array<tinyint>, medium array<tinyint>, slot int, v long"), "summary"
     )
-    rows = summary.filter(F.col("slot").isNull()).select("key", "n", "set_id")
+    rows = summary.filter(F.col("slot").isNull()).select("key", "text_hash", "n", "set_id")
     width = 1 << config.sketch_bits
     cells = summary.filter(F.col("slot").isNotNull()).groupBy("slot").agg(F.sum("v").alias("v")).toArrow()
     sketch = np.zeros(config.sketch_rows * width, np.int64)
@@ -316,7 +321,7 @@ def jaccard_components(docs: DataFrame, config: JoinConfig = JoinConfig(), key:
     sketch = sketch.reshape(config.sketch_rows, width)
     noise = max(float(config.frequent), config.deviations * float(np.sqrt(np.median((sketch.astype(float) ** 2).mean(axis=1)))))
     sets = materialize(
-        summary.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("key").alias("first_key"), F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("coarse").alias("coarse"), F.first("medium").alias("medium")), "vertices"
+        summary.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("key").alias("first_key"), F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "text_hash")).alias("first"), F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("coarse").alias("coarse"), F.first("medium").alias("medium")), "vertices"
     )
 
     prefixes = plain.select("text").mapInArrow(_prefixes(sketch, noise, config), "token long, set_id long, n int, m tinyint")
@@ -356,11 +361,30 @@ def jaccard_components(docs: DataFrame, config: JoinConfig = JoinConfig(), key:
     )
     crossing = materialize(_verified(_passing(rest, sets, config), plain, sets, config), "links")
     final = connected_components(starred.unionByName(crossing)).withColumnRenamed("node", "set_id")
-    vertex = sets.select("set_id", "first_key").join(final, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    vertex = materialize(vertex, "vertices")
+    vertex = sets.select("set_id", "first_key", "first").join(final, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    return rows, materialize(vertex, "vertices")
+
+
+def jaccard_components(docs: DataFrame, config: JoinConfig = JoinConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) of every row of ``docs``."""
+    rows, vertex = _components(docs, config, key, text)
     least = vertex.groupBy("component").agg(F.min("first_key").alias("component_id"))
     by_set = vertex.join(least, "component").select("set_id", "component_id")
     return rows.join(by_set, "set_id", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("set_id").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def surplus(docs: DataFrame, config: JoinConfig = JoinConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text_hash, goes, wordless) of the pairs of key and text that are not the one their component
+    keeps (``goes``), and of pairs that are kept but have several rows. The kept pair is the least by
+    key, then by ``text_hash``, those without a key last; wordless texts are all kept."""
+    rows, vertex = _components(docs, config, key, text)
+    kept = vertex.groupBy("component").agg(F.min("first").alias("kept"))
+    by_set = vertex.join(kept, "component").select("set_id", "kept")
+    pairs = rows.groupBy("key", "text_hash", "set_id").agg(F.count("*").alias("times")).join(by_set, "set_id", "left")
+    own = F.col("key").eqNullSafe(F.col("kept.key")) & (F.col("text_hash") == F.col("kept.text_hash"))
+    wordless = F.col("set_id").isNull()
+    marked = pairs.select("key", "text_hash", "times", (~wordless & ~F.coalesce(own, F.lit(False))).alias("goes"), wordless.alias("wordless"))
+    return marked.filter("goes OR times > 1").select(F.col("key").alias(key), "text_hash", "goes", "wordless")
