@@ -51,10 +51,15 @@ _PAIRS = {("api", "key"), ("private", "key"), ("access", "key"), ("secret", "key
 # Literals that stand for a secret without being one.
 PLACEHOLDERS = ("changeme", "example", "placeholder", "your_", "your-", "dummy", "xxxx", "todo", "none", "null", "redacted")
 
-_SENSITIVE = r"(?i)(passw|passp|pwd|pass|secret|token|api[_.-]?key|credential|private[_.-]?key|access[_.-]?key|auth[_.-]?key|bearer|signing[_.-]?key|encryption[_.-]?key)[A-Za-z0-9_.-]*[\"']?[ \t]*(:|=)"
+_SENSITIVE = r"(?i)(passw|passp|pwd|pass|secret|token|api[_.-]?key|credential|private[_.-]?key|access[_.-]?key|auth[_.-]?key|bearer|signing[_.-]?key|encryption[_.-]?key)[A-Za-z0-9_.-]*[\"']?\]?[ \t]*(:|=|[ \t][A-Za-z_*\[][A-Za-z0-9_.*\[\]]*[ \t]*=)"
+_TYPE = r"[A-Za-z_*][\w.?*]*+(?:\[[^\[\]\n=]*+(?:\[[^\[\]\n=]*+\][^\[\]\n=]*+)*+\]|<[^<>\n=]*+>)*+"
 _PAIR = re.compile(
-    r"""(?<![\w.\-$])(?P<name>[A-Za-z_][\w.\-]*+)["']?[ \t]*+(?:=>|:=|=(?!=)|:(?![:/=]))[ \t]*+"""
-    r"""(?:"(?P<dq>(?:[^"\\\n]|\\.)*+)"|'(?P<sq>(?:[^'\\\n]|\\.)*+)'|`(?P<bq>[^`\n]*+)`|(?P<bare>[^\s"'`,;#(){}\[\]<>]++))""",
+    r"""(?:\b(?P<go>var|const)[ \t]++)?(?<![\w.\-$])(?P<name>[A-Za-z_][\w.\-]*+)["']?+\]?+[ \t]*+"""
+    # a type between name and '=': after a colon, or as in Go after a space
+    rf"""(?:(?::[ \t]*+{_TYPE}(?:[ \t]*+\|[ \t]*+{_TYPE})*+|(?(go)(?<=[ \t])[\[\]]*+{_TYPE}|(?!)))[ \t]*+=(?![=>])"""
+    r"""|(?:=>|:=|=(?!=)|:(?![:/=])))[ \t]*+"""
+    r"""(?:(?:[A-Za-z]{1,2}|\$|@|\$@|@\$)?(?:\"{3}(?P<tdq>(?:[^"\\]|\\[\s\S]|"(?!""))*+)\"{3}|'{3}(?P<tsq>(?:[^'\\]|\\[\s\S]|'(?!''))*+)'{3})"""
+    r"""|(?:[A-Za-z]{1,2}|\$|@|\$@|@\$)?"(?P<dq>(?:[^"\\\n]|\\.)*+)"|(?:[A-Za-z]{1,2}|\$|@|\$@|@\$)?'(?P<sq>(?:[^'\\\n]|\\.)*+)'|`(?P<bq>[^`\n]*+)`|(?P<bare>[^\s"'`,;#(){}\[\]<>]++))""",
     re.A,
 )
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", re.A)
