@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of whole texts that go to a Python worker at once; Spark's own default is ten times that.
+TEXT_ROWS = 1000
 
 
 def session(master: str | None = None, cores: int | None = None, **conf: str) -> SparkSession:
@@ -71,6 +74,16 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, in a session that sends at most ``TEXT_ROWS`` rows at once to a Python worker, so that
+    the JVM's and the worker's copies of a batch of whole texts stay small. Applies to what is run from
+    then on; a smaller setting of the user's stays."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH)) > TEXT_ROWS or int(conf.get(_BATCH)) <= 0:
+        conf.set(_BATCH, str(TEXT_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder; ``sf_dir`` may be any path Spark can read."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
