@@ -13,14 +13,16 @@ score, ``log(1 - exp(-exp(log_prob - threshold)))``.
 
 Pieces never cross from a word into the next space, so the lattice is a chain of word lattices. Forward
 sums of all distinct words of a batch, and draws for all words of all its texts, are numpy operations.
-Draws are hashes of (row key, sample, word, step): equal rows get equal results on any cluster.
+A word's lattice depends on nothing but the word, so that a worker keeps it for later texts, within a
+bound. Draws are hashes of (row key, sample, word, step): equal rows get equal results on any cluster.
 
 A character that is no piece is spelled in byte pieces, as is a literal U+2581. Decoding is exact.
 The vocabulary's file is a parameter; the driver reads it once and ships the pieces.
 
 Defined results: null and empty texts have one segmentation, without pieces; texts with fewer
-segmentations than ``samples`` give all of them, with inclusion 1; a null key is a key of its own; an
-empty table gives no rows; other columns are not read.
+segmentations than ``samples`` give all of them, with inclusion 1; a text of any length is encoded whole,
+with some 60 bytes of memory for a word; repeated rows give repeated results; a null key is a key of its
+own; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +38,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.runtime import lean
+
 #: Characters handled at once; texts that are longer stand alone.
-PIECE = 2 << 20
+PIECE = 256 << 10
+#: Words drawn at once, also of one text, however long it is.
+BLOCK = 64 << 10
+#: States of the lattices that a worker keeps for the next texts; beyond it, it starts anew.
+KEPT_STATES = 256 << 10
 #: Words up to this length are handled together; longer ones one by one in logarithms.
 TOGETHER = 40
 _CHUNK = re.compile(r" *[^ \n\t]+| +|[\n\t]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_SHIFT = np.uint64(44)
 
 
 @dataclass(frozen=True)
@@ -66,20 +76,31 @@ class Vocabulary:
         weight = self.alpha * (weight - np.log(np.exp(weight).sum()))
         keys = np.array([_string_hash(p) for _, p in plain], np.uint64)
         order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array([k for k, _ in plain], np.int32)[order]
+        place = (keys[order] >> _SHIFT).astype(np.int64)
+        # the first key of each bucket, and how many a bucket has at most
+        self.first = np.full(1 << 20, -1, np.int32)
+        self.first[place[::-1]] = np.arange(len(place))[::-1]
+        self.most = int(np.bincount(place).max())
+        self.keys = np.append(keys[order], np.zeros(self.most, np.uint64))
+        self.ids = np.append(np.array([k for k, _ in plain], np.int32)[order], np.zeros(self.most, np.int32))
+        begins = {p[:n] for _, p in plain for n in range(1, len(p))}
+        self.grows = np.zeros(1 << 20, bool)
+        self.grows[(np.array([_string_hash(p) for p in begins], np.uint64) >> _SHIFT).astype(np.int64)] = True
         self.weights = weight[self.ranks]
         self.byte_weight = float(weight[-1])
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(keys >> np.uint64(44)).astype(np.int64)] = True
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Ids of substrings by their hashes; -1 where there is none."""
-        out = np.full(len(h), -1, np.int32)
-        maybe = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
-        hit = self.keys[at] == h[maybe]
-        out[maybe[hit]] = self.ids[at[hit]]
-        return out
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the hashed strings are pieces, their ids, and which may begin a longer piece."""
+        bucket = (h >> _SHIFT).astype(np.int64)
+        first = self.first[bucket]
+        maybe = np.flatnonzero(first >= 0)
+        at, own, ids = first[maybe], h[maybe], np.full(len(maybe), -1, np.int32)
+        for _ in range(self.most):
+            hit = self.keys[at] == own
+            ids[hit] = self.ids[at[hit]]
+            at = at + 1
+        hit = ids >= 0
+        return maybe[hit], ids[hit], np.flatnonzero(self.grows[bucket])
 
 
 def _scramble(h: np.ndarray) -> np.ndarray:
@@ -140,16 +161,18 @@ def word_lattices(words: list[str], v: Vocabulary) -> Words:
     inside[base] = False  # state 0 of each word
     chars[inside] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
     place = np.arange(total) - np.repeat(base, length + 1)  # characters before each state
-    h = np.zeros(total, np.uint64)
     ends, sizes, ids = [], [], []
+    starts, h = np.arange(total), np.zeros(total, np.uint64)
     for n in range(1, min(v.longest, int(length.max(initial=0))) + 1):
-        # h[s]: hash of the n characters after state s; it ends at state s + n
-        starts = np.flatnonzero(place[n:] >= n)
-        grown = h[starts] * _BASE + (chars[starts + n] + np.uint64(1))
-        h[starts] = grown
-        found = v.find(_scramble(grown))
-        hit = np.flatnonzero(found >= 0)
-        end, piece = starts[hit] + n, found[hit]
+        # the states with n characters of their word after them, and the hashes of these
+        inner = starts + n < total
+        starts, h = starts[inner], h[inner]
+        inner = place[starts + n] >= n
+        starts, h = starts[inner], h[inner]
+        h = h * _BASE + (chars[starts + n] + np.uint64(1))
+        hit, piece, longer = v.find(_scramble(h))
+        end = starts[hit] + n
+        starts, h = starts[longer], h[longer]
         if n == 1:  # a character that is no piece goes in bytes
             alone = np.ones(total, bool)
             alone[end] = False
@@ -190,10 +213,39 @@ def word_lattices(words: list[str], v: Vocabulary) -> Words:
             mass = np.exp(part - part.max())
             logs[j] = part.max() + np.log(mass.sum())
             chance[e] = mass / mass.sum()
-    run = np.append(0.0, np.cumsum(chance))
-    cdf = run[1:] - run[first[end]]
-    cdf[first[1:][np.diff(first) > 0] - 1] = 1.0
-    return Words(base, length, first, size, piece, chance, cdf, end, chars)
+    # running sums within each state, so that they don't depend on what else is in the batch
+    cdf, edges = chance.copy(), np.diff(first)
+    more = np.flatnonzero(edges > 1)
+    for k in range(1, int(edges.max(initial=1))):
+        at = first[more] + k
+        cdf[at] += cdf[at - 1]
+        more = more[edges[more] > k + 1]
+    cdf[first[1:][edges > 0] - 1] = 1.0
+    return Words(base, length, first, size.astype(np.int32), piece, chance, cdf, end.astype(np.int32), chars.astype(np.uint32))
+
+
+def _joined(a: Words, b: Words) -> Words:
+    """Lattices of both, those of ``b`` after those of ``a``."""
+    states, edges = len(a.chars), len(a.ids)
+    shifted = {"base": b.base + states, "first": b.first[1:] + edges, "end": b.end + np.int32(states)}
+    return Words(**{k: np.concatenate([x, shifted.get(k, getattr(b, k))]) for k, x in vars(a).items()})
+
+
+class Lattices:
+    """Lattices of the words a worker has met, by their numbers."""
+
+    def __init__(self, v: Vocabulary, most_states: int = KEPT_STATES):
+        self.v, self.most_states, self.number, self.words = v, most_states, {}, word_lattices([], v)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of ``words`` in ``self.words``; they hold until the next call."""
+        if len(self.words.chars) > self.most_states:
+            self.number, self.words = {}, word_lattices([], self.v)
+        fresh = [w for w in dict.fromkeys(words) if w not in self.number]
+        if fresh:
+            self.words = _joined(self.words, word_lattices(fresh, self.v))
+            self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
 
 def _uniform(seeds: np.ndarray, *parts) -> np.ndarray:
@@ -229,7 +281,7 @@ def in_order(count: int, steps) -> tuple[np.ndarray, np.ndarray]:
     for at, _ in steps:
         n[at] += 1
     first = np.cumsum(n) - n
-    edges = np.empty(int(n.sum()), np.int64)
+    edges = np.empty(int(n.sum()), np.int32)
     for k, (at, e) in enumerate(steps):
         edges[first[at] + n[at] - 1 - k] = e
     return np.append(first, len(edges)), edges
@@ -293,44 +345,46 @@ class _Path:
         return tuple(self.edges[self.first[i] : self.first[i + 1]][::-1].tolist())
 
 
-def sample_texts(keys: list[int], chunks: list[list[str]], v: Vocabulary, config: SampleConfig) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text (as chunks) its samples as (ids, log_prob, perturbed, log_inclusion), best first."""
-    number: dict[str, int] = {}
-    for text in chunks:
-        for c in text:
-            if c not in number:
-                number[c] = len(number)
-    flat = np.fromiter((number[c] for text in chunks for c in text), np.int64, sum(map(len, chunks)))
+def sample_texts(
+    keys: list[int], chunks: list[list[str]], v: Vocabulary, config: SampleConfig, lattices: Lattices | None = None
+) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """For each text (as chunks) its samples as (ids, log_prob, perturbed, log_inclusion), best first.
+    ``lattices`` are those of words met before."""
+    lattices = lattices or Lattices(v)
+    flat = lattices.numbers(list(chain.from_iterable(chunks)))
+    w = lattices.words
     counts = np.array([len(c) for c in chunks], np.int64)
     ends = np.cumsum(counts)
     starts = ends - counts
-    w = word_lattices(list(number), v)
     seeds = np.array([xxhash.xxh3_64_intdigest(str(k).encode(), seed=config.seed) for k in keys], np.uint64)
-    owner = np.repeat(np.arange(len(chunks)), counts)
-    place = np.arange(len(flat)) - np.repeat(starts, counts)
-
-    def tails(jobs: list[tuple[int, int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Draws of (text, from word, sample) each: logs, first, edges of the words from there."""
-        at = np.concatenate([np.arange(starts[t] + i, ends[t]) for t, i, _ in jobs]) if jobs else np.empty(0, np.int64)
-        turn = np.repeat([s for *_, s in jobs], [ends[t] - starts[t] - i for t, i, _ in jobs]).astype(np.uint64)
-        logs, steps = draw_words(w, flat[at], _hashed(seeds[owner[at]], turn, place[at]))
-        first, edges = in_order(len(at), steps)
-        k = 0
-        for t, i, _ in jobs:
-            n = int(ends[t] - starts[t] - i)
-            a, b = first[k], first[k + n]
-            yield logs[k : k + n], first[k : k + n + 1] - a, edges[a:b]
-            k += n
-
-    def queued(t: int, sample: int, i: int, before: float, logs: np.ndarray, bound: float) -> np.ndarray:
-        cum = before + np.cumsum(logs) - logs
-        u = _uniform(np.full(len(logs), seeds[t], np.uint64), 1 << 40, sample, np.arange(i, i + len(logs)))
-        return _below(cum + _log_rest(logs), np.full(len(logs), bound), u)
+    owner = np.repeat(np.arange(len(chunks), dtype=np.int32), counts)
+    place = (np.arange(len(flat)) - np.repeat(starts, counts)).astype(np.int32)
+
+    def tails(jobs: list[tuple[int, int]], sample: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Draws of (text, from word) each: logs, first, edges of the words from there; with each word
+        the logarithm of what its draw leaves, and the uniform of what was passed over."""
+        lengths = np.array([ends[t] - starts[t] - i for t, i in jobs], np.int64)
+        at = np.concatenate([np.arange(starts[t] + i, ends[t]) for t, i in jobs]) if jobs else np.empty(0, np.int64)
+        logs, n, edges = np.empty(len(at)), np.empty(len(at), np.int64), []
+        for k in range(0, len(at), BLOCK):
+            block = at[k : k + BLOCK]
+            logs[k : k + BLOCK], steps = draw_words(w, flat[block], _hashed(seeds[owner[block]], np.uint64(sample), place[block]))
+            first, found = in_order(len(block), steps)
+            n[k : k + BLOCK] = np.diff(first)
+            edges.append(found)
+        edges = np.concatenate(edges) if edges else np.empty(0, np.int32)
+        first, rest, u = np.append(0, np.cumsum(n)), _log_rest(logs), _uniform(seeds[owner[at]], 1 << 40, sample, place[at])
+        for k, length in zip(np.cumsum(lengths) - lengths, lengths, strict=True):
+            own, a = slice(k, k + length), first[k]
+            yield logs[own], first[k : k + length + 1] - a, edges[a : first[k + length]], rest[own], u[own]
+
+    def queued(before: float, logs: np.ndarray, rest: np.ndarray, u: np.ndarray, bound: float) -> np.ndarray:
+        return _below(before + np.cumsum(logs) - logs + rest, np.full(len(logs), bound), u)
 
     paths: list[list[_Path]] = []
-    for t, (logs, first, edges) in enumerate(tails([(t, 0, 0) for t in range(len(chunks))])):
-        bound = float(-np.log(-np.log(_uniform(seeds[t : t + 1], 1 << 41)[0])))
-        paths.append([_Path(edges, first, logs, bound, queued(t, 0, 0, 0.0, logs, bound))])
+    bounds = -np.log(-np.log(_uniform(seeds, 1 << 41)))
+    for bound, (logs, first, edges, rest, u) in zip(bounds.tolist(), tails([(t, 0) for t in range(len(chunks))], 0), strict=True):
+        paths.append([_Path(edges, first, logs, bound, queued(0.0, logs, rest, u, bound))])
     for sample in range(1, config.samples):
         jobs, fresh = [], []
         for t, own in enumerate(paths):
@@ -348,17 +402,17 @@ def sample_texts(keys: list[int], chunks: list[list[str]], v: Vocabulary, config
             p.queue[i] = -np.inf
             if not seg:
                 continue
-            jobs.append((t, i + 1, sample))
+            jobs.append((t, i + 1))
             fresh.append((p, i, bound, gone, seg, log))
-        for (t, _, _), (p, i, bound, gone, seg, log), (logs, first, edges) in zip(jobs, fresh, tails(jobs), strict=True):
+        for (t, _), (p, i, bound, gone, seg, log), (logs, first, edges, rest, u) in zip(jobs, fresh, tails(jobs, sample), strict=True):
             head = p.first[i]
             before = float(p.logs[:i].sum())
             out = sum(float(w.chance[list(g)].prod()) for g in gone) + np.exp(log)
             here = _below(np.array([before + (np.log(1 - out) if 1 - out > 1e-13 else -np.inf)]), np.array([bound]), _uniform(seeds[t : t + 1], 1 << 43, sample))
-            queue = np.concatenate([np.full(i, -np.inf), here, queued(t, sample, i + 1, before + log, logs, bound)])
+            queue = np.concatenate([np.full(i, -np.inf), here, queued(before + log, logs, rest, u, bound)])
             paths[t].append(
                 _Path(
-                    np.concatenate([p.edges[:head], seg[::-1], edges]).astype(np.int64),
+                    np.concatenate([p.edges[:head], seg[::-1], edges]).astype(np.int32),
                     np.concatenate([p.first[: i + 1], first + head + len(seg)]), np.concatenate([p.logs[:i], [log], logs]), bound, queue, i, gone,
                 )
             )
@@ -374,7 +428,7 @@ def sample_texts(keys: list[int], chunks: list[list[str]], v: Vocabulary, config
     return results
 
 
-def _hashed(seeds: np.ndarray, turn: np.ndarray, place: np.ndarray) -> np.ndarray:
+def _hashed(seeds: np.ndarray, turn: np.uint64, place: np.ndarray) -> np.ndarray:
     h = _scramble((seeds ^ turn) * _BASE + np.uint64(1))
     return _scramble((h ^ place.astype(np.uint64)) * _BASE + np.uint64(2))
 
@@ -396,24 +450,26 @@ def chunked(text: str) -> list[str]:
     return _CHUNK.findall(" " + text) if text else []
 
 
+def _spelled(pieces: list[str], bytes_at: int) -> list[bytes]:
+    """The bytes that each id stands for."""
+    out = [p.encode("utf-8", "surrogatepass") for p in pieces]
+    out[bytes_at : bytes_at + 256] = [bytes([k]) for k in range(256)]
+    return out
+
+
+def _text(ids, spelled: list[bytes]) -> str:
+    """The text of piece ids, without the space that every text has before it."""
+    return b"".join(map(spelled.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+
+
 def decode_ids(ids, pieces: list[str], bytes_at: int) -> str:
     """The text of piece ids."""
-    out, raw = [], bytearray()
-    for i in ids:
-        if bytes_at <= i < bytes_at + 256:
-            raw.append(i - bytes_at)
-        else:
-            if raw:
-                out.append(raw.decode("utf-8", "surrogatepass"))
-                raw.clear()
-            out.append(pieces[i])
-    if raw:
-        out.append(raw.decode("utf-8", "surrogatepass"))
-    return "".join(out)[1:]
+    return _text(ids, _spelled(pieces, bytes_at))
 
 
 def _encoder(v: Vocabulary, config: SampleConfig):
     def run(batches):
+        lattices = Lattices(v)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             start = 0
@@ -423,14 +479,17 @@ def _encoder(v: Vocabulary, config: SampleConfig):
                     text = texts[stop].as_py() or ""
                     parts.append(chunked(text))
                     chars, stop = chars + len(text), stop + 1
-                got = sample_texts(keys[start:stop], parts, v, config)
+                got = sample_texts(keys[start:stop], parts, v, config, lattices)
                 at = [k for k, rows in enumerate(got, start) for _ in rows]
                 flat = [x for rows in got for x in rows]
+                pieces = pa.ListArray.from_arrays(
+                    pa.array(np.append(0, np.cumsum([len(x[0]) for x in flat])), pa.int32()), pa.array(np.concatenate([x[0] for x in flat]), pa.int32())
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(c.take(pa.array(at, pa.int64())) for k, c in enumerate(batch.columns) if k != 1),
                         pa.array([k for rows in got for k in range(len(rows))], pa.int32()),
-                        pa.array([x[0] for x in flat], pa.list_(pa.int32())),
+                        pieces,
                         *(pa.array([x[k] for x in flat], pa.float64()) for k in (1, 2, 3)),
                     ],
                     names=[batch.schema.names[0], *batch.schema.names[2:], "sample", "ids", "log_prob", "perturbed", "log_inclusion"],
@@ -450,13 +509,13 @@ def encode(docs: DataFrame, config: SampleConfig = SampleConfig(), key: str = "d
     plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
     extra = [F.sha2(plain.cast("binary"), 256).alias("text_sha256")] if with_digest else []
     schema = f"`{key}` {kind}, " + ("text_sha256 string, " if with_digest else "") + _SAMPLED
-    return docs.select(F.col(key), plain.alias("_text"), *extra).mapInArrow(_encoder(load_vocabulary(config), config), schema)
+    return lean(docs).select(F.col(key), plain.alias("_text"), *extra).mapInArrow(_encoder(load_vocabulary(config), config), schema)
 
 
-def _decoder(pieces: list[str], bytes_at: int, at: int):
+def _decoder(spelled: list[bytes], at: int):
     def run(batches):
         for batch in batches:
-            texts = [decode_ids(x.as_py(), pieces, bytes_at) if x.is_valid else None for x in batch.column(at)]
+            texts = [_text(x.values.to_numpy().tolist(), spelled) if x.is_valid else None for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return run
@@ -468,4 +527,4 @@ def decode(encoded: DataFrame, config: SampleConfig = SampleConfig(), ids: str =
     from pyspark.sql import types as T
 
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
-    return encoded.mapInArrow(_decoder(v.pieces, v.bytes_at, encoded.columns.index(ids)), schema)
+    return encoded.mapInArrow(_decoder(_spelled(v.pieces, v.bytes_at), encoded.columns.index(ids)), schema)
