@@ -13,9 +13,9 @@ document gets the least key of its component of links.
    those with the ``hubs`` least ids (hashes, so at random) are hubs. Documents are first verified
    against hubs, which joins a group of n near copies by a multiple of n edges instead of n^2.
 4. What is left are pairs of different components in one bucket. A bucket's largest component is only
-   met with the rest, never with itself. Pairs pass a bound on the symmetric difference by histograms
-   of hashes (exact: it never rejects a link), then need enough shared prefix shingles, then are
-   verified on whole sets.
+   met with the rest, never with itself. Pairs pass bounds on the symmetric difference by parities and
+   histograms of hashes (exact: they never reject a link), then need enough shared prefix shingles,
+   then are verified on whole sets.
 
 Nothing is capped: every pair above the threshold has both ends in one component, which follows from
 the prefix lemma and exact verification. Shingles and set ids are 64-bit hashes; two of 10^9 different
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.shingles import shingle_set, texts
 from tessella.operators.components import connected_components
-from tessella.runtime import materialize
+from tessella.runtime import lean, materialize
 
 
 @dataclass(frozen=True)
@@ -56,10 +56,9 @@ class JoinConfig:
     deviations: float = 1.5
     #: most shared prefix shingles that are asked for
     max_matches: int = 16
-    #: least bins of a set's histogram of hashes (it has one for every one or two shingles, a power
-    #: of two), and bins of the two coarse ones that go with prefix rows
-    least_bins: int = 32
-    coarse_bins: int = 32
+    #: words of 64 parities that go with prefix rows, and least of a set's print, which has one or two
+    #: parities for every shingle (a power of two); bins of the histogram that goes with prefix rows
+    coarse_words: int = 4
     medium_bins: int = 128
     #: members of a bucket that all its others are verified against first
     hubs: int = 12
@@ -80,24 +79,46 @@ def _histogram(tokens: np.ndarray, bins: int) -> np.ndarray:
     return np.minimum(np.bincount((tokens & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 127).astype(np.int8)
 
 
-def _bins(n: int, config: JoinConfig) -> int:
-    return max(config.least_bins, 1 << n.bit_length() - 1)
+def _print(tokens: np.ndarray, least: int) -> bytes:
+    """Parities of how many tokens fall into each of a power of two of bins, a bit each.
 
+    A token that only one of two sets has turns one bit over, so that two prints never differ in more
+    bits than the sets do in tokens."""
+    bins = max(least, 1 << max(len(tokens) - 1, 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
-def _apart(a: np.ndarray, b: np.ndarray) -> int:
-    """Least symmetric difference of two sets by their histograms; the finer one is folded."""
-    a, b = (a, b) if len(a) <= len(b) else (b, a)
-    # counts stop at 127, also after folding, so that what is cut never adds to the difference
-    b = np.minimum(b.reshape(-1, len(a)).sum(axis=0, dtype=np.int64), 127)
-    return int(np.abs(a.astype(np.int64) - b).sum())
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The print in ``size`` bytes: that of fewer bins."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """Least symmetric difference of two sets by their prints; the finer one is folded."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
 
 
 def _set_id(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
+def _coarse(config: JoinConfig) -> list[str]:
+    return [f"c{k}" for k in range(config.coarse_words)]
+
+
+def _summary_schema(config: JoinConfig, key: str) -> str:
+    coarse = "".join(f"{c} long, " for c in _coarse(config))
+    return f"key {key}, text_hash long, n long, set_id long, print binary, {coarse}medium array<tinyint>, slot int, v long"
+
+
 def _summarize(config: JoinConfig):
-    width, counts = 1 << config.sketch_bits, pa.list_(pa.int8())
+    width, counts, words = 1 << config.sketch_bits, pa.list_(pa.int8()), config.coarse_words
+    names = ["key", "text_hash", "n", "set_id", "print", *_coarse(config), "medium", "slot", "v"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(config.sketch_rows * width, np.int64)
@@ -110,30 +131,37 @@ def _summarize(config: JoinConfig):
                 at, sign = _cells(tokens, r, config.sketch_bits)
                 sketch[r * width : (r + 1) * width] += np.bincount(at, sign, width).astype(np.int64)
 
-        key_type = pa.null()
+        key_type, waiting = pa.null(), 0
         for batch in batches:
-            key_type, n, ids, hist, coarse, medium = batch.schema.types[0], [], [], [], [], []
+            key_type, n, ids, prints, coarse, medium = batch.schema.types[0], [], [], [], [], []
             for data in texts(batch.column(1)):
                 tokens = shingle_set(data, config.words)
                 n.append(len(tokens))
                 ids.append(_set_id(tokens) if len(tokens) else None)
-                hist.append(_histogram(tokens, _bins(len(tokens), config)) if len(tokens) else None)
-                coarse.append(_histogram(tokens, config.coarse_bins) if len(tokens) else None)
+                prints.append(_print(tokens, 64 * words) if len(tokens) else None)
+                coarse.append(_folded(np.frombuffer(prints[-1], np.uint8), 8 * words).view("<i8") if len(tokens) else np.zeros(words, np.int64))
                 medium.append(_histogram(tokens, config.medium_bins) if len(tokens) else None)
                 held.append(tokens)
-                if sum(map(len, held[-64:])) > 1 << 19 or len(held) > 2000:
+                waiting += len(tokens)
+                if waiting > 1 << 18:
                     pour()
+                    waiting = 0
+            rows = np.array(coarse, np.int64).reshape(len(n), words)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(hist, counts), pa.array(coarse, counts), pa.array(medium, counts), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())],
-                names=["key", "text_hash", "n", "set_id", "hist", "coarse", "medium", "slot", "v"],
+                [
+                    batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(prints, pa.binary()),
+                    *(pa.array(rows[:, k]) for k in range(words)), pa.array(medium, counts), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64()),
+                ],
+                names=names,
             )
         if held:
             pour()
         at = np.flatnonzero(sketch)
         if len(at):
+            none = lambda kind: pa.nulls(len(at), kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(at), key_type), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), counts), pa.nulls(len(at), counts), pa.nulls(len(at), counts), pa.array(at.astype(np.int32)), pa.array(sketch[at])],
-                names=["key", "text_hash", "n", "set_id", "hist", "coarse", "medium", "slot", "v"],
+                [none(key_type), *(none(pa.int64()) for _ in range(3)), none(pa.binary()), *(none(pa.int64()) for _ in range(words)), none(counts), pa.array(at.astype(np.int32)), pa.array(sketch[at])],
+                names=names,
             )
 
     return run
@@ -244,25 +272,34 @@ def _buckets(n_hubs: int, percent: int):
     return run
 
 
-def _may_link(n_a: Column, n_b: Column, hist_a: Column, hist_b: Column, percent: int) -> Column:
-    """False only for pairs that cannot link: sizes too different, or histograms too far apart.
+def _within(apart: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    """Whether sets that differ in ``apart`` elements or more may link.
 
     Sets with overlap o differ in n_a + n_b - 2 o elements, and o >= percent * union / 100."""
-    apart = F.aggregate(F.zip_with(hist_a, hist_b, lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
-    sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
-    return sizes & ((100 + percent) * apart <= (100 - percent) * (n_a + n_b))
+    return (100 + percent) * apart <= (100 - percent) * (n_a + n_b)
+
+
+def _may_link(a: str, b: str, config: JoinConfig) -> Column:
+    """False only for pairs that cannot link: sizes too different, or parities or histograms too far
+    apart. The parities come first: they are compiled, and decide small sets."""
+    n_a, n_b = F.col(f"{a}_n"), F.col(f"{b}_n")
+    sizes = 100 * F.least(n_a, n_b) >= config.percent * F.greatest(n_a, n_b)
+    turned = [F.bit_count(F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}"))) for c in _coarse(config)]
+    counts = F.zip_with(f"{a}_medium", f"{b}_medium", lambda x, y: F.abs(x.cast("int") - y.cast("int")))
+    apart = F.aggregate(counts, F.lit(0), lambda s, x: s + x)
+    return sizes & _within(sum(turned[1:], turned[0]), n_a, n_b, config.percent) & _within(apart, n_a, n_b, config.percent)
 
 
 def _passing(pairs: DataFrame, sets: DataFrame, config: JoinConfig) -> DataFrame:
-    """Pairs (a, b) that sizes and fine histograms don't rule out."""
-    side = lambda x: sets.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("hist").alias(f"h_{x}"))
+    """Pairs (a, b) that sizes and prints don't rule out."""
+    side = lambda x: sets.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("print").alias(f"h_{x}"))
 
     def keep(batches):
         for batch in batches:
             a, b, n_a, n_b = (batch.column(k).to_numpy() for k in range(4))
             near = 100 * np.minimum(n_a, n_b) >= config.percent * np.maximum(n_a, n_b)
             for k in np.flatnonzero(near):
-                apart = _apart(batch.column(4)[k].values.to_numpy(), batch.column(5)[k].values.to_numpy())
+                apart = _apart(batch.column(4)[k].as_py(), batch.column(5)[k].as_py())
                 near[k] = (100 + config.percent) * apart <= (100 - config.percent) * (n_a[k] + n_b[k])
             yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], names=["a", "b"])
 
@@ -310,9 +347,7 @@ def _components(docs: DataFrame, config: JoinConfig, key: str, text: str) -> tup
     is the least (no_key, key, text_hash) of a set's rows, those without a key last."""
     plain = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), text_hash(text).alias("text_hash"))
     kind = docs.schema[key].dataType.simpleString()
-    summary = materialize(
-        plain.mapInArrow(_summarize(config), f"key {kind}, text_hash long, n long, set_id long, hist array<tinyint>, coarse array<tinyint>, medium array<tinyint>, slot int, v long"), "summary"
-    )
+    summary = materialize(lean(plain).mapInArrow(_summarize(config), _summary_schema(config, kind)), "summary")
     rows = summary.filter(F.col("slot").isNull()).select("key", "text_hash", "n", "set_id")
     width = 1 << config.sketch_bits
     cells = summary.filter(F.col("slot").isNotNull()).groupBy("slot").agg(F.sum("v").alias("v")).toArrow()
@@ -320,8 +355,10 @@ def _components(docs: DataFrame, config: JoinConfig, key: str, text: str) -> tup
     sketch[cells["slot"].to_numpy()] = cells["v"].to_numpy()
     sketch = sketch.reshape(config.sketch_rows, width)
     noise = max(float(config.frequent), config.deviations * float(np.sqrt(np.median((sketch.astype(float) ** 2).mean(axis=1)))))
+    same = ["n", "print", *_coarse(config), "medium"]  # rows of one set have the same
+    least = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "text_hash")).alias("first")
     sets = materialize(
-        summary.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("key").alias("first_key"), F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "text_hash")).alias("first"), F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("coarse").alias("coarse"), F.first("medium").alias("medium")), "vertices"
+        summary.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("key").alias("first_key"), least, *(F.first(c).alias(c) for c in same)), "vertices"
     )
 
     prefixes = plain.select("text").mapInArrow(_prefixes(sketch, noise, config), "token long, set_id long, n int, m tinyint")
@@ -345,15 +382,14 @@ def _components(docs: DataFrame, config: JoinConfig, key: str, text: str) -> tup
     ).filter("kinds > 1")
     # the shingles of a shared passage have the same members: one of them stands for all
     chosen = mixed.groupBy("x0", "x1", "c", "main").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
-    open_rows = materialize(named.join(chosen.select("token", "main", "weight"), "token").join(sets.select("set_id", "coarse", "medium"), "set_id"), "open")
-    x = open_rows.filter("component != main").select(*(F.col(c).alias(f"x_{c}") for c in ("token", "set_id", "n", "m", "component", "coarse", "medium", "weight")))
-    y = open_rows.select(*(F.col(c).alias(f"y_{c}") for c in ("token", "set_id", "n", "m", "component", "main", "coarse", "medium")))
+    far = [*_coarse(config), "medium"]
+    open_rows = materialize(named.join(chosen.select("token", "main", "weight"), "token").join(sets.select("set_id", *far), "set_id"), "open")
+    x = open_rows.filter("component != main").select(*(F.col(c).alias(f"x_{c}") for c in ("token", "set_id", "n", "m", "component", "weight", *far)))
+    y = open_rows.select(*(F.col(c).alias(f"y_{c}") for c in ("token", "set_id", "n", "m", "component", "main", *far)))
     met = x.join(
         y,
         (F.col("x_token") == F.col("y_token")) & (F.col("x_component") != F.col("y_component"))
-        & ((F.col("y_component") == F.col("y_main")) | (F.col("x_set_id") < F.col("y_set_id")))
-        & _may_link(F.col("x_n"), F.col("y_n"), F.col("x_coarse"), F.col("y_coarse"), config.percent)
-        & _may_link(F.col("x_n"), F.col("y_n"), F.col("x_medium"), F.col("y_medium"), config.percent),
+        & ((F.col("y_component") == F.col("y_main")) | (F.col("x_set_id") < F.col("y_set_id"))) & _may_link("x", "y", config),
     )
     rest = (
         met.groupBy(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b"))
@@ -370,10 +406,10 @@ def jaccard_components(docs: DataFrame, config: JoinConfig = JoinConfig(), key:
     rows, vertex = _components(docs, config, key, text)
     least = vertex.groupBy("component").agg(F.min("first_key").alias("component_id"))
     by_set = vertex.join(least, "component").select("set_id", "component_id")
-    return rows.join(by_set, "set_id", "left").select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"),
-        F.when(F.col("set_id").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    named = rows.join(by_set, "set_id").select("key", "n", "component_id")
+    # wordless rows have no set: they aren't joined, as they would all meet in one task
+    alone = rows.filter("set_id IS NULL").select("key", "n", F.col("key").alias("component_id"))
+    return named.unionByName(alone).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def surplus(docs: DataFrame, config: JoinConfig = JoinConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -383,8 +419,8 @@ def surplus(docs: DataFrame, config: JoinConfig = JoinConfig(), key: str = "doc_
     rows, vertex = _components(docs, config, key, text)
     kept = vertex.groupBy("component").agg(F.min("first").alias("kept"))
     by_set = vertex.join(kept, "component").select("set_id", "kept")
-    pairs = rows.groupBy("key", "text_hash", "set_id").agg(F.count("*").alias("times")).join(by_set, "set_id", "left")
+    pairs = rows.groupBy("key", "text_hash", "set_id").agg(F.count("*").alias("times"))
     own = F.col("key").eqNullSafe(F.col("kept.key")) & (F.col("text_hash") == F.col("kept.text_hash"))
-    wordless = F.col("set_id").isNull()
-    marked = pairs.select("key", "text_hash", "times", (~wordless & ~F.coalesce(own, F.lit(False))).alias("goes"), wordless.alias("wordless"))
-    return marked.filter("goes OR times > 1").select(F.col("key").alias(key), "text_hash", "goes", "wordless")
+    marked = pairs.join(by_set, "set_id").select("key", "text_hash", "times", (~own).alias("goes"), F.lit(False).alias("wordless"))
+    bare = pairs.filter("set_id IS NULL").select("key", "text_hash", "times", F.lit(False).alias("goes"), F.lit(True).alias("wordless"))
+    return marked.unionByName(bare).filter("goes OR times > 1").select(F.col("key").alias(key), "text_hash", "goes", "wordless")
