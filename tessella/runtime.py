@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CHECKPOINT = "spark.checkpoint.dir"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -84,6 +85,23 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores after it as make it differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, also those whose names have dots."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder; ``sf_dir`` may be any path Spark can read."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
