@@ -1,21 +1,29 @@
 """Quality rules: multivariate outliers by minimum covariance determinant, per language and source.
 
-Every document gets word statistics from its whole text. Four of them, transformed towards
-symmetry, form a vector. Each (language, source) group with enough documents gets its own robust
-location and scatter; smaller groups share one pooled estimate. A document is rejected when its
-squared Mahalanobis distance passes a chi-square cutoff.
+Every document gets word statistics from its whole text. Four of them, transformed towards symmetry, form
+a vector. Each (language, source) group gets a robust location and scatter, and a document is rejected
+when its squared Mahalanobis distance passes a chi-square cutoff.
 
-The estimate is a deterministic MCD: start from coordinate medians and MADs, then repeat
-concentration steps (keep the ``h`` closest, recompute mean and covariance), then one reweighting.
-Each step is one aggregation with map-side combine into (group, distance bucket) moments, so no
-group is ever gathered in one task however many rows it has. Vectors are fixed-point integers, so
-sums are exact and results don't depend on how rows are partitioned.
+The estimate is a deterministic MCD. Vectors are first centred by exact medians and scaled by exact MADs,
+each row counted. Three starts (independent axes, spatial signs, hyperbolic tangents) are concentrated side
+by side: weigh the ``h`` closest rows by one, all others by zero, and take their mean and covariance anew,
+until no start of any group lowers its determinant any more. The start with the least determinant is
+kept, and reweighted once by the rows within a chi-square quantile. Rows of the distance bucket (a
+thirty-second of a bit) in which the ``h``-th lies count by the share that is due, so that all weights add
+up to ``h`` and ties need no order.
+
+All groups are treated alike: the estimate of a group of n rows is averaged with that of all rows together
+by n and ``prior`` rows. What a group of few rows lacks thus comes from all, and large ones stay as they are.
+
+Each step is one aggregation with map-side combine into (group, distance bucket) moments, so no group is
+ever gathered in one task however many rows it has. Vectors are fixed-point integers, so sums are exact and
+results don't depend on how rows are partitioned.
 
 Everything runs as Spark expressions: no Python code touches a row.
 
-Defined results: a null or wordless text has zero words and fails the base rules; null language
-and source act as empty strings; repeated rows each count and get equal verdicts; an empty table
-gives no rows; further columns are ignored unless named in ``keep``.
+Defined results: a null or wordless text has zero words and fails the base rules; null language and source
+act as empty strings; repeated rows each count and get equal verdicts; texts of any length are read whole;
+an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,8 +56,11 @@ class QualityConfig:
     min_words: int = 50
     max_repeat_percent: int = 50
     subset: float = 0.75
-    steps: int = 4
-    min_group: int = 60
+    #: most concentration steps, and the fall of a log determinant that counts as one
+    steps: int = 30
+    tolerance: float = 1e-3
+    #: rows that the estimate of all groups together counts for in each
+    prior: int = 30
     broadcast_groups: int = 50_000
     salts: int = 64
     floors: tuple[float, ...] = (0.05, 0.04, 0.08, 0.10)
@@ -158,38 +169,113 @@ def _cholesky(groups: DataFrame) -> DataFrame:
     return groups
 
 
+#: Distance buckets to a doubling.
+FINE = 32
+
+
 def _bucket(d2: Column) -> Column:
-    """Logarithmic bucket of a squared distance; about 400 buckets to 1e12, a tenth of a bit each."""
-    return F.floor(F.log2(F.least(d2, F.lit(1e12)) * 16 + 1) * 10).cast("int")
+    """Logarithmic bucket of a squared distance; about 1400 buckets to 1e12."""
+    return F.floor(F.log2(F.least(d2, F.lit(1e12)) * 16 + 1) * FINE).cast("int")
 
 
 def _upper(bucket: Column) -> Column:
-    return (F.pow(F.lit(2.0), (bucket + 1) / 10.0) - 1) / 16
+    return (F.pow(F.lit(2.0), (bucket + 1) / FINE) - 1) / 16
 
 
-def _moments(cells: DataFrame, d2: Column, subset: Column | None, config: QualityConfig) -> DataFrame:
-    """Mean, Cholesky factor and median distance of each group's closest part.
+MEAN = [f"m{i}" for i in range(DIMS)]
+COV = [f"c{i}{j}" for i, j in PAIRS]
+LOW = [f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)]
 
-    ``subset`` given: rows within that distance; else the closest ``h`` by whole buckets."""
+
+def _sums() -> dict[str, Column]:
     sums = {"n": F.sum("weight")}
     sums |= {f"s{i}": F.sum(F.col("weight") * F.col(f"z{i}")) for i in range(DIMS)}
-    sums |= {f"p{i}{j}": F.sum(F.col("weight") * F.col(f"z{i}") * F.col(f"z{j}")) for i, j in PAIRS}
-    binned = cells.withColumn("b", _bucket(d2)).groupBy("grp", "b").agg(*(v.alias(k) for k, v in sums.items()))
-    w = Window.partitionBy("grp")
-    binned = binned.withColumns(
-        {"total": F.sum("n").over(w), "upto": F.sum("n").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))}
-    ).fillna(0, ["upto"])
-    inside = F.col("upto") < F.ceil(F.col("total") * config.subset) if subset is None else subset
-    middle = F.min(F.when(F.col("upto") + F.col("n") >= F.col("total") / 2, F.col("b")))
-    picked = [F.sum(F.when(inside, F.col(k))).cast("double").alias(k) for k in sums]
-    g = binned.groupBy("grp").agg(middle.alias("mid"), *picked).withColumns(
-        {f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(DIMS)}
-    )
+    return sums | {f"p{i}{j}": F.sum(F.col("weight") * F.col(f"z{i}") * F.col(f"z{j}")) for i, j in PAIRS}
+
+
+def _moments(summed: DataFrame, config: QualityConfig) -> DataFrame:
+    """Means, covariances (with the floors) and their Cholesky factor from columns of ``_sums``."""
+    g = summed.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(DIMS)})
     for i, j in PAIRS:
         cov = F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
         g = g.withColumn(f"c{i}{j}", cov + (config.floors[i] * UNIT) ** 2 if i == j else cov)
-    g = _cholesky(g)
-    return g.select("grp", "mid", *(f"m{i}" for i in range(DIMS)), *(f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)))
+    return _factored(g)
+
+
+def _factored(g: DataFrame) -> DataFrame:
+    """``g`` with the factor of its covariances and the logarithm of their determinant."""
+    return _cholesky(g).withColumn("logdet", 2 * sum((F.log(f"l{i}{i}") for i in range(1, DIMS)), F.log("l00")))
+
+
+def _closest(near: DataFrame, keys: list[str], config: QualityConfig) -> DataFrame:
+    """Sums of the closest ``h`` of each group of rows (keys, z0..z3, weight, d2)."""
+    sums = _sums()
+    binned = near.withColumn("b", _bucket(F.col("d2"))).groupBy(*keys, "b").agg(*(v.alias(k) for k, v in sums.items()))
+    w = Window.partitionBy(*keys)
+    upto = F.coalesce(F.sum("n").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    binned = binned.withColumns({"_total": F.sum("n").over(w), "_upto": upto})
+    due = F.ceil(F.col("_total") * config.subset) - F.col("_upto")
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), due / F.col("n")))
+    return binned.withColumn("_share", share).groupBy(*keys).agg(*(F.sum(F.col("_share") * F.col(k)).alias(k) for k in sums))
+
+
+def _starts(cells: DataFrame, config: QualityConfig) -> DataFrame:
+    """(grp, start, m, l): three scatters around the medians, scaled by the MADs."""
+    median = lambda x: F.expr(f"percentile({x}, 0.5, weight)").cast("double")  # noqa: E731  exact, each row counted
+    centre = materialize(cells.groupBy("grp").agg(*(median(f"z{i}").alias(f"m{i}") for i in range(DIMS))), "mcd")
+    mads = _with_groups(cells, centre, "grp", config).groupBy("grp").agg(*(median(f"abs(z{i} - m{i})").alias(f"d{i}") for i in range(DIMS)))
+    scales = [F.greatest(F.col(f"d{i}") * 1.4826 + config.floors[i] * UNIT, F.lit(1.0)).alias(f"d{i}") for i in range(DIMS)]
+    scaled = materialize(centre.join(mads, "grp").select("grp", *MEAN, *scales), "mcd")
+    y = [(F.col(f"z{i}") - F.col(f"m{i}")) / F.col(f"d{i}") for i in range(DIMS)]
+    # fixed point again, so that the sums are exact
+    whole = lambda x: F.round(x * (1 << 20)).cast("long") * F.col("weight")
+    rows = _with_groups(cells, scaled, "grp", config).withColumns({f"y{i}": c for i, c in enumerate(y)})
+    length = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, DIMS)), F.col("y0") * F.col("y0"))
+    rows = rows.withColumns({"_q": length, "_w": F.lit(1 << 20) * F.col("weight")} | {f"t{i}": F.tanh(f"y{i}") for i in range(DIMS)})
+    sums = {f"a{i}{j}": F.sum(whole(F.when(F.col("_q") > 0, F.col(f"y{i}") * F.col(f"y{j}") / F.col("_q")).otherwise(0.0))) for i, j in PAIRS}
+    sums |= {f"b{i}{j}": F.sum(whole(F.col(f"t{i}") * F.col(f"t{j}"))) for i, j in PAIRS}
+    sums |= {f"t{i}": F.sum(whole(F.col(f"t{i}"))) for i in range(DIMS)}
+    g = rows.groupBy("grp").agg(F.sum("_w").alias("w"), *(v.alias(k) for k, v in sums.items()))
+    g = g.join(scaled, "grp")
+    cross = {
+        1: lambda i, j: F.col(f"a{i}{j}") / F.col("w"),
+        2: lambda i, j: F.col(f"b{i}{j}") / F.col("w") - F.col(f"t{i}") / F.col("w") * F.col(f"t{j}") / F.col("w"),
+    }
+
+    def scatter(start: int) -> Column:
+        def correlation(i: int, j: int) -> Column:
+            if i == j or start == 0:
+                return F.lit(float(i == j))
+            both = cross[start](i, i) * cross[start](j, j)
+            # a little towards independence, so that it can always be factored
+            return F.when(both > 1e-12, 0.99 * cross[start](i, j) / F.sqrt(both)).otherwise(0.0)
+
+        return F.struct(F.lit(start).alias("start"), *((correlation(i, j) * F.col(f"d{i}") * F.col(f"d{j}")).alias(f"c{i}{j}") for i, j in PAIRS))
+
+    each = g.select("grp", *MEAN, F.explode(F.array(*(scatter(k) for k in range(3)))).alias("x")).select("grp", *MEAN, "x.*")
+    return _factored(each).select("grp", "start", *MEAN, *LOW)
+
+
+def concentrated(cells: DataFrame, config: QualityConfig) -> DataFrame:
+    """(grp, start, logdet, m, c, l): each group's closest ``h`` rows by the start that ends with the
+    least determinant."""
+    kept = ["grp", "start", "logdet", *MEAN, *COV, *LOW]
+
+    def step(model: DataFrame) -> DataFrame:
+        near = _with_groups(cells, model.select("grp", "start", *MEAN, *LOW), "grp", config).withColumn("d2", _joined_distance())
+        return _moments(_closest(near, ["grp", "start"], config), config).select(*kept)
+
+    model = materialize(step(materialize(_starts(cells, config), "mcd")), "mcd")
+    for _ in range(config.steps - 1):
+        new = step(model).select("grp", "start", F.struct(*kept[2:]).alias("new"))
+        better = F.col("new.logdet") < F.col("logdet") - config.tolerance
+        both = model.select("grp", "start", F.struct(*kept[2:]).alias("old"), "logdet").join(new, ["grp", "start"])
+        moved = materialize(both.select("grp", "start", better.alias("moved"), F.when(better, F.col("new")).otherwise(F.col("old")).alias("x")), "mcd")
+        model = moved.select("grp", "start", "x.*")
+        if moved.filter("moved").isEmpty():
+            break
+    best = model.groupBy("grp").agg(F.min(F.struct("logdet", "start", *kept[3:])).alias("x"))
+    return materialize(best.select("grp", "x.*").select(*kept), "mcd")
 
 
 def _joined_distance() -> Column:
@@ -207,43 +293,48 @@ def _with_groups(rows: DataFrame, groups: DataFrame, on: str, config: QualityCon
     return rows.withColumn("_salt", salt).join(spread, [on, "_salt"]).drop("_salt")
 
 
-def estimate(cells: DataFrame, config: QualityConfig) -> DataFrame:
-    """Robust location and scatter of each ``grp`` of (grp, z0..z3, weight); ``scale`` turns raw
-    squared distances into ones whose median is the chi-square median."""
-    start = materialize(
-        cells.groupBy("grp").agg(
-            *(F.expr(f"percentile_approx(z{i}, 0.5, 1000)").cast("double").alias(f"m{i}") for i in range(DIMS))
-        ),
-        "mcd",
-    )
-    spread = (
-        _with_groups(cells, start, "grp", config).groupBy("grp")
-        .agg(*(F.expr(f"percentile_approx(abs(z{i} - m{i}), 0.5, 1000)").alias(f"d{i}") for i in range(DIMS)))
-    )
-    first = start.join(spread, "grp").select(
-        "grp", *(f"m{i}" for i in range(DIMS)),
-        *(
-            (F.col(f"d{i}") * 1.4826 + config.floors[i] * UNIT if i == j else F.lit(0.0)).alias(f"l{i}{j}")
-            for i in range(DIMS) for j in range(i + 1)
-        ),
-    )
-    model = materialize(first, "mcd")
-    for _ in range(config.steps):
-        model = materialize(_moments(_with_groups(cells, model, "grp", config), _joined_distance(), None, config), "mcd")
-    # the last step's median bucket, of distances to the step before, which has converged
-    reached = F.greatest(F.col("mid"), _bucket(F.lit(config.chi_median)))
-    scaled = model.withColumn("reach", _upper(reached) * config.chi_reweight / config.chi_median)
-    inner = _with_groups(cells, scaled, "grp", config)
-    final = materialize(
-        _moments(inner.filter(_joined_distance() <= F.col("reach")), _joined_distance(), F.lit(True), config), "mcd"
-    )
-    mid = _medians(cells, final, config)
-    return final.drop("mid").join(mid, "grp").withColumn(
-        "scale", config.chi_median / F.greatest(_upper(F.col("mid")), F.lit(config.chi_median))
+def _reweighted(cells: DataFrame, config: QualityConfig) -> DataFrame:
+    """(grp, n, m, c) of each group's rows within a chi-square quantile of its MCD."""
+    raw = concentrated(cells, config).select("grp", *MEAN, *LOW)
+    scaled = raw.join(_medians(cells, raw, config), "grp").withColumn(
+        "reach", _upper(F.greatest(F.col("mid"), _bucket(F.lit(config.chi_median)))) * config.chi_reweight / config.chi_median
     )
+    inner = _with_groups(cells, materialize(scaled.drop("mid"), "mcd"), "grp", config).filter(_joined_distance() <= F.col("reach"))
+    return materialize(_moments(inner.groupBy("grp").agg(*(v.alias(k) for k, v in _sums().items())), config).select("grp", "n", *MEAN, *COV), "mcd")
+
+
+def _scaled(cells: DataFrame, model: DataFrame, config: QualityConfig) -> DataFrame:
+    """(grp, m, l, scale); ``scale`` turns raw squared distances into ones whose median is the
+    chi-square median."""
+    factored = materialize(_factored(model).select("grp", *MEAN, *LOW), "mcd")
+    scale = config.chi_median / F.greatest(_upper(F.col("mid")), F.lit(config.chi_median))
+    return factored.join(_medians(cells, factored, config), "grp").withColumn("scale", scale).drop("mid")
+
+
+def estimate(cells: DataFrame, config: QualityConfig) -> DataFrame:
+    """Robust location and scatter of each ``grp`` of (grp, z0..z3, weight), from its own rows alone."""
+    return _scaled(cells, _reweighted(cells, config), config)
+
+
+#: Stands for all groups together; no group's own name is without a separator.
+ALL = "*"
+
+
+def shared_estimate(cells: DataFrame, config: QualityConfig) -> DataFrame:
+    """As ``estimate``, with each group's averaged with that of all rows, which count for ``prior``."""
+    z = [f"z{i}" for i in range(DIMS)]
+    every = materialize(cells.groupBy(*z).agg(F.sum("weight").alias("weight")).select(F.lit(ALL).alias("grp"), *z, "weight"), "cells")
+    model = _reweighted(cells.unionByName(every), config)
+    overall = model.filter(F.col("grp") == ALL).first()
+    if overall is None:
+        return _scaled(cells, model, config)
+    share = F.lit(float(config.prior)) / (F.col("n") + config.prior)
+    drawn = [((1 - share) * F.col(c) + share * F.lit(float(overall[c]))).alias(c) for c in (*MEAN, *COV)]
+    return _scaled(cells, model.filter(F.col("grp") != ALL).select("grp", *drawn), config)
 
 
 def _medians(cells: DataFrame, model: DataFrame, config: QualityConfig) -> DataFrame:
+    """(grp, mid): the bucket of each group's median distance."""
     counts = _with_groups(cells, model, "grp", config).groupBy("grp", _bucket(_joined_distance()).alias("b")).agg(F.sum("weight").alias("n"))
     w = Window.partitionBy("grp")
     counts = counts.withColumns({"total": F.sum("n").over(w), "upto": F.sum("n").over(w.orderBy("b"))})
@@ -268,15 +359,9 @@ def quality_verdicts(
     )
     stats = materialize(stats.withColumn("base_failed", failed), "stats")
     passing = stats.filter(~F.col("base_failed"))
-    sizes = passing.groupBy("own").agg(F.count("*").alias("members"))
-    own_or_pooled = F.when(F.col("members") >= config.min_group, F.col("own")).otherwise("*")
-    names = materialize(sizes.select("own", own_or_pooled.alias("grp")), "names")
     z = [f"z{i}" for i in range(DIMS)]
-    cells = materialize(
-        _with_groups(passing.select("own", *z), names, "own", config).groupBy("grp", *z).agg(F.count("*").alias("weight")),
-        "cells",
-    )
-    model = materialize(names.join(estimate(cells, config), "grp"), "mcd")
+    cells = materialize(passing.groupBy(F.col("own").alias("grp"), *z).agg(F.count("*").alias("weight")), "cells")
+    model = materialize(shared_estimate(cells, config).withColumnRenamed("grp", "own"), "mcd")
     judged = _with_groups(passing, model, "own", config).withColumn("distance", _joined_distance() * F.col("scale"))
     failing = stats.filter("base_failed").withColumn("distance", F.lit(None).cast("double"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= config.cutoff)
