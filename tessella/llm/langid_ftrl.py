@@ -8,15 +8,17 @@ fitted on part of the sample so that scores are calibrated probabilities.
 
 * Document frequencies are counted over every training document in one pass: each task adds up a
   vector of ``buckets`` counters and emits it once, so what is shuffled grows with tasks, not texts.
-* The classifier is fitted on the driver on a bounded, documented sample: about ``per_lang`` documents
-  of each language, chosen by a hash of the key, ``max_sample`` altogether at most.
+* The classifier is fitted on the driver on a bounded, documented sample: ``per_lang`` documents of
+  each language, and ``max_sample`` altogether, at most, first by a hash of key and text. They are
+  turned into features where they are; only these are brought together.
 * Prediction is one pass over whole texts. As features are linear in n-gram counts, the score of a
   text is a mean of table rows; nothing of the size of the vocabulary is built for a document.
 
 Defined results: null text or a text without letters gets ``und`` with score 0; a null key counts as
 held in, not held out, and takes no part in training; null language: not learned from; a corpus
-without training rows predicts ``und`` everywhere; repeated rows get equal predictions; empty tables
-give no rows; other columns are not read.
+without training rows predicts ``und`` everywhere; of equally likely languages the first by name is
+predicted; repeated rows get equal predictions; texts of any length are read whole, in parts; empty
+tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.runtime import lean
+
 UND = "und"
 #: Characters handled at once, so that memory is bounded for texts of any length.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -44,7 +48,7 @@ class LangConfig:
     epochs: int = 4
     alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 1e-4
+    l1: float = 0.2
     l2: float = 1e-3
     calibration_share: float = 0.2
     seed: int = 13
@@ -140,8 +144,9 @@ def _sampler(bits: int):
                     batch.column(0),
                     pa.array([a.astype(np.int32) for a, _ in rows], pa.list_(pa.int32())),
                     pa.array([b.astype(np.int32) for _, b in rows], pa.list_(pa.int32())),
+                    batch.column(2),
                 ],
-                names=["lang", "ids", "n"],
+                names=["lang", "ids", "n", "h"],
             )
 
     return emit
@@ -201,10 +206,15 @@ def train(labelled: DataFrame, config: LangConfig = LangConfig()) -> LangModel |
     df[freq["bucket"].to_numpy()] = freq["n"].to_numpy()
     n_docs, df = df[-1], df[:-1]
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, config.per_lang / per_lang[k]))))
-    drawn = F.pmod(F.xxhash64(F.col("key"), F.lit(config.seed)), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
-    sample = labelled.filter(drawn).limit(config.max_sample).select("lang", "text")
-    got = sample.mapInArrow(_sampler(config.bits), "lang string, ids array<int>, n array<int>").toArrow()
+    most = max(1, min(config.per_lang, config.max_sample // len(langs)))
+    # half as many again are drawn by the hash, so that few rows are compared for the least hashes
+    share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, (1.5 * most + 20) / per_lang[k]))))
+    h = F.xxhash64(F.col("key"), F.col("text"), F.lit(config.seed))
+    drawn = F.pmod(h, F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
+    picked = labelled.filter(drawn).select("lang", "text", h.alias("h")).mapInArrow(_sampler(config.bits), "lang string, ids array<int>, n array<int>, h long")
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
+    sample = picked.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most)
+    got = sample.orderBy("lang", "r").select("lang", "ids", "n").toArrow()
     rows = []
     for lang, ids, n in zip(got["lang"], got["ids"], got["n"], strict=True):
         ids, n = ids.values.to_numpy(), n.values.to_numpy()
@@ -259,7 +269,7 @@ def _tagger(model: LangModel | None, at: int):
 
 
 def _learned(docs: DataFrame, config: LangConfig, key: str, text: str, lang: str) -> LangModel | None:
-    plain = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    plain = lean(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     learn = F.col("key").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
     return train(plain.filter(~held_out(F.col("key")) & learn), config)
 
@@ -272,7 +282,7 @@ def tag_languages(
     fields = [T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)]
     out = T.StructType([*fields, T.StructField("pred", T.StringType()), T.StructField("score", T.DoubleType())])
     tag = _tagger(_learned(docs, config, key, text, lang), docs.columns.index(text))
-    return docs.mapInArrow(tag, out).toDF(*docs.columns, predicted, score)
+    return docs.toDF(*(f.name for f in fields)).mapInArrow(tag, out).toDF(*docs.columns, predicted, score)
 
 
 def identify(docs: DataFrame, config: LangConfig = LangConfig(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -11,7 +11,8 @@ published estimator. At 0.5 the score splits the classes by that risk.
 * How many documents have a feature is counted over every training text in one pass with one vector of
   counters a task. The ``features`` most enriched in positives enter the classifier.
 * The positives (``max_positive``) and the unlabelled sample (``max_unlabelled``) the classifier is
-  fitted on are bounded, chosen by a hash of the key.
+  fitted on are bounded: the first by a hash of key and text. They are turned into features where they
+  are; only these, a few numbers a document, are brought together.
 * Scoring is one pass over whole texts; the model is a few thousand numbers.
 
 Defined results: null and empty texts have no feature and get the score of that; a null key counts as
@@ -30,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.runtime import lean
+
 #: Bytes handled at once; a part ends at a word's end.
 PIECE = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -156,7 +159,7 @@ def _extractor(slot: np.ndarray, bits: int):
     def extract(batches):
         for batch in batches:
             ids = [_distinct(d, bits, slot).astype(np.int32) for d in _bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["positive", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), batch.column(1)], names=["ids", "h"])
 
     return extract
 
@@ -223,10 +226,12 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicConfig = ToxicConfig(
     slot = np.full(1 << config.bits, -1, np.int32)
     slot[buckets] = np.arange(len(buckets))
     rate = min(1.0, config.max_unlabelled / max(int(n[-1]), 1))
-    drawn = F.pmod(F.xxhash64("key", F.lit(config.seed + 1)), F.lit(1 << 30)) < int(rate * (1 << 30))
+    h = F.xxhash64("key", "text", F.lit(config.seed + 1))
+    drawn = F.pmod(h, F.lit(1 << 30)) < int(min(1.0, 1.1 * rate) * (1 << 30))
     extract = _extractor(slot, config.bits)
     sets = [
-        marked.filter(rows).limit(most).select("text", "positive").mapInArrow(extract, "positive boolean, ids array<int>").toArrow()["ids"]
+        marked.filter(rows).select("text", h.alias("h")).mapInArrow(extract, "ids array<int>, h long")
+        .orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(most).toArrow()["ids"]
         for rows, most in ((F.col("positive"), config.max_positive), (drawn, config.max_unlabelled))
     ]
     xp, xu = ([x.values.to_numpy() for x in s] for s in sets)
@@ -257,7 +262,7 @@ def _scorer(model: ToxicModel | None):
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicConfig = ToxicConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, score, predicted) of every row of ``docs``."""
-    plain = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    plain = lean(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     model = train(plain, labels.select(F.col(key).alias("key"), "toxic"), config)
     kind = docs.schema[key].dataType.simpleString()
     out = plain.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "text")
