@@ -13,7 +13,8 @@ Lines are told apart by 64-bit hashes.
 
 Defined results: null text stays null with no lines; a text all of whose lines go becomes empty, its
 row stays; a null site counts as one site of its own; repeated rows don't add to a spread; an empty
-table gives no rows; further columns are kept as they are, also those with the names used here.
+table gives no rows; a text of any length is handled whole, by its lines; further columns are kept as
+they are, also those with the names used here (give other names for ``lines`` and ``removed`` then).
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.runtime import materialize
+from tessella.runtime import lean, materialize
 
 _AROUND = " \t\n\x0b\x0c\r"
 
@@ -65,7 +66,7 @@ def _spreads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def boilerplate(docs: DataFrame, config: LineConfig = LineConfig(), text: str = "text", site: str = "source") -> DataFrame:
     """(line, sites) of every line hash on at least ``min_sites`` sites; sites is exact near the
     threshold and an estimate beyond it."""
-    plain = docs.select(F.col(text).cast("string").alias("text"), F.col(site).cast("string").alias("site"))
+    plain = lean(docs).select(F.col(text).cast("string").alias("text"), F.col(site).cast("string").alias("site"))
     spread = plain.mapInArrow(_spreads, "line long, site string")
     # a site's name gets a mark before it, so that a null site differs from every named one
     named = F.when(F.col("site").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "site"))
@@ -143,7 +144,7 @@ def drop_boilerplate(
     if gone.count() <= config.broadcast_lines:
         hashes = np.asarray(gone.select("line").toArrow()["line"].to_numpy(), np.int64)
         out = T.StructType([*fields, T.StructField("lines", T.LongType()), T.StructField("removed", T.LongType())])
-        return docs.mapInArrow(_dropper(hashes, at), out).toDF(*docs.columns, lines, removed)
+        return docs.toDF(*(f.name for f in fields)).mapInArrow(_dropper(hashes, at), out).toDF(*docs.columns, lines, removed)
     joined = _dropped_by_join(docs.toDF(*(f.name for f in fields)), gone, f"c{at}")
     parts = F.split(F.col(f"c{at}"), "\n", -1)
     places = F.coalesce(F.col("_places"), F.array().cast("array<int>"))

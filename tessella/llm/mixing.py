@@ -14,8 +14,8 @@ ordered. What results is one hash per leaf, so texts are filtered in place and n
 
 Defined results: null domain, language and source act as empty strings; a null key as an empty one; null
 texts have no tokens; rows that repeat a key in a leaf are taken or left together; a weight that isn't
-given is 1; a leaf without tokens gets no budget, its documents go; an empty table gives no rows; other
-columns are kept.
+given is 1; a leaf without tokens gets no budget, its documents go; texts of any length are counted whole;
+an empty table gives no rows; other columns are kept, also those with the names used here.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.runtime import materialize
+from tessella.runtime import columns, fresh, materialize
 
 LEAF = ["domain", "lang", "source"]
 #: Hex digits of the hash by which tokens are summed.
@@ -141,10 +141,10 @@ def mix(
     k = F.col(key).cast("string").alias("key")
     units = materialize(docs.select(*leaf, k, count_tokens(F.col(text)).alias("tokens")), "units")
     plan = materialize(leaf_prefixes(units, config), "plan")
-    names = {x: f"_leaf_{x}" for x in LEAF}
-    side = plan.select(*(F.col(x).alias(n) for x, n in names.items()), F.col("full").alias("_full"), F.col("last").alias("_last"))
-    keyed = docs.withColumns({n: c for n, c in zip(names.values(), leaf, strict=True)} | {"_order_key": k})
-    joined = keyed.join(F.broadcast(side) if plan.count() <= config.broadcast_leaves else side, list(names.values()))
-    taken = F.col("_full") + (order_hash(F.col("_order_key"), F.col("_full"), config.seed) <= F.col("_last")).cast("int")
-    epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_taken") - 1))
-    return joined.withColumn("_taken", taken).filter("_taken > 0").select(*(F.col(f"`{c}`") for c in docs.columns), epochs.alias(epoch))
+    *own, order_key, full, last, taken = fresh(docs, *(f"_leaf_{x}" for x in LEAF), "_order_key", "_full", "_last", "_taken")
+    side = plan.select(*(F.col(x).alias(n) for x, n in zip(LEAF, own, strict=True)), F.col("full").alias(full), F.col("last").alias(last))
+    keyed = docs.withColumns(dict(zip(own, leaf, strict=True)) | {order_key: k})
+    joined = keyed.join(F.broadcast(side) if plan.count() <= config.broadcast_leaves else side, own)
+    times = F.col(full) + (order_hash(F.col(order_key), F.col(full), config.seed) <= F.col(last)).cast("int")
+    epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.col(taken) - 1))
+    return joined.withColumn(taken, times).filter(F.col(taken) > 0).select(*columns(docs), epochs.alias(epoch))
