@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline as P
+from tessella.llm.langid_ftrl import identify
 from tests.llm.test_jaccard_join import expected as groups_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -36,6 +37,8 @@ def test_stages_equal_brute_force(spark):
     one = P.language_id(spark, docs, "")
     assert one.columns == docs.columns
     letters = [r for r in rows if r[1] and re.search(r"[^\W\d_]", r[1])]
+    said = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(docs).collect()}
+    letters = [(r[0], r[1], r[2] or said[r[0]][0], *r[3:]) for r in letters if said[r[0]][1] >= 0.5]
     assert sorted(map(tuple, one.collect()), key=str) == sorted(letters, key=str)
 
     two = P.line_dedup(spark, one, "")
@@ -74,4 +77,32 @@ def test_empty_table_goes_through(spark, tmp_path):
 def test_rows_without_id_or_with_equal_ids(spark):
     rows = [(None, "a b c", "en", "s", 5), (1, "x y z", "en", "s", 5), (1, "other words", "en", "s", 11)]
     kept = P.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
-    assert [r["doc_id"] for r in kept] == [1]
+    assert sorted(map(tuple, kept), key=str) == sorted(rows, key=str)  # three texts that have nothing in common
+
+
+CLASHES = "lang_pred lang_score n_lines n_removed epoch _id _hash _goes _wordless _rest _leaf_domain _full _last _taken _order_key key text_hash set_id h odd.name".split()
+
+
+def test_extra_columns_with_the_operators_names_are_kept(spark):
+    rows = [(*r, *[f"{r[0]}{c}" for c in CLASHES]) for r in corpus()[:60]]
+    schema = SCHEMA + "".join(f", `{c}` string" for c in CLASHES)
+    docs = spark.createDataFrame(rows, schema)
+    for stage in (P.language_id, P.line_dedup, P.near_duplicates, P.mixing):
+        docs = stage(spark, docs, "")
+        assert docs.columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), *CLASHES]
+        docs = spark.createDataFrame(docs.collect(), schema)
+        assert all(r[5 + k] == f"{r['doc_id']}{c}" for r in docs.collect() for k, c in enumerate(CLASHES))
+    assert docs.count() > 20
+    assert P.encoding(spark, docs, "").count() > 20
+
+
+def test_the_classifier_decides(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "some words", None, "s", 10), (2, "mots", "fr", "s", 4), (3, "unclear", "en", "s", 7), (4, "12", "en", "s", 2)], SCHEMA)
+    said = {1: ("en", 0.9), 2: ("en", 0.8), 3: ("fr", 0.4), 4: ("und", 0.0)}
+
+    def tagged(docs, predicted, score):
+        return spark.createDataFrame([(*r, *said[r["doc_id"]]) for r in docs.collect()], f"{SCHEMA}, {predicted} string, {score} double")
+
+    monkeypatch.setattr(P, "tag_languages", tagged)
+    # the third goes by its score; the first had no language; recorded ones stay
+    assert {(r["doc_id"], r["lang"]) for r in P.language_id(spark, docs, "").collect()} == {(1, "en"), (2, "fr")}
