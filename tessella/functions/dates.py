@@ -36,3 +36,17 @@ def w3cdtf_millis(text: Column) -> Column:
     part = lambda k: F.regexp_extract(text, pattern, k)
     number = lambda k: F.coalesce(part(k).try_cast("int"), F.lit(0))
     return F.when(text.rlike(pattern), _millis(number(1), number(2), number(3), number(4), number(5), number(6), _offset(part(7), part(8), part(9))))
+
+
+def exif_millis(text: Column) -> Column:
+    """``year:month:day hour[:minute[:second]]``; parts of the time that aren't numbers count as 0."""
+    pattern = r"^\s*(\d{4}):(\d{1,2}):(\d{1,2}) ([^:\s]*)(?::([^:\s]*))?(?::([^:\s]*))?"
+    part = lambda k: F.regexp_extract(text, pattern, k)
+    number = lambda k: F.coalesce(part(k).try_cast("int"), F.lit(0))
+    return F.when(text.rlike(pattern), _millis(number(1), number(2), number(3), number(4), number(5), number(6), F.lit(0)))
+
+
+def best_date(raw: Column, source: Column, mtime_ms: Column) -> tuple[Column, Column]:
+    """Milliseconds and origin of a file's date: what it states, if that can be read, else its time of change."""
+    stated = F.when(source == "office_metadata", w3cdtf_millis(raw)).when(source == "exif", exif_millis(raw)).when(source == "email_header", rfc5322_millis(raw))
+    return F.coalesce(stated, mtime_ms), F.when(stated.isNotNull(), source).otherwise("filesystem_modified")

@@ -15,6 +15,7 @@ import zipfile
 from xml.parsers import expat
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from tessella.functions.text import SHINGLE_WORDS
@@ -22,10 +23,12 @@ from tessella.functions.text import SHINGLE_WORDS
 CELL = "\x1f"
 MEDIA = {"docx": "word/media/", "pptx": "ppt/media/", "xlsx": "xl/media/"}
 # RTF groups whose content is no text.
-RTF_SKIPPED = set(
-    "fonttbl colortbl stylesheet info pict object themedata colorschememapping latentstyles datastore generator listtable "
-    "listoverridetable rsidtbl xmlnstbl header footer headerl headerr footerl footerr".split()
-)
+RTF_SKIPPED = (
+    "fonttbl", "colortbl", "stylesheet", "info", "generator", "pict", "object", "footer", "header", "footnote", "annotation",
+    "field", "themedata", "colorschememapping", "latentstyles", "rsidtbl", "xmlnstbl", "listtable", "listoverridetable", "datastore",
+)
+#: As ``text_words`` splits: letters with the marks that count as alphabetic, and numbers.
+_WORDS = regex.compile(r"[\p{Alphabetic}\p{N}]+")
 
 
 def token(text: str) -> int:
@@ -33,7 +36,7 @@ def token(text: str) -> int:
 
 
 def shingles(text: str) -> set[int]:
-    words = [w.lower() for w in re.findall(r"[^\W_]+", text)]
+    words = [w.lower() for w in _WORDS.findall(text)]
     n = max(len(words) - SHINGLE_WORDS + 1, 1)
     return {token(" ".join(words[i : i + SHINGLE_WORDS])) for i in range(n)} if words else set()
 
@@ -214,6 +217,52 @@ def exif_date(data: bytes) -> str | None:
         return None
 
 
+def zip_text(data: bytes, name: str) -> str | None:
+    """One entry of an archive as text; None if it can't be read."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            return read_text(z.read(name))
+    except (zipfile.BadZipFile, KeyError, OSError, RuntimeError):
+        return None
+
+
+def first_tag_text(text: str, tag: str) -> str | None:
+    """The text of the first element with a local name, if it has any."""
+    runs = [r.strip() for r in xml_text(text.encode("utf-8", "surrogatepass"), tag)]
+    return next((r for r in runs if r), None)
+
+
+def raw_date(extension: str | None, data: bytes | None) -> tuple[str | None, str | None]:
+    """The date that a file states, as it is written there, and where it comes from."""
+    if data is None:
+        return None, None
+    if extension in ("docx", "pptx", "xlsx"):
+        core = zip_text(data, "docProps/core.xml")
+        found = core and (first_tag_text(core, "modified") or first_tag_text(core, "created"))
+        return (found, "office_metadata") if found else (None, None)
+    if extension in ("jpg", "jpeg", "tiff"):
+        found = exif_date(data)
+        return (found, "exif") if found else (None, None)
+    if extension == "eml":
+        for line in read_text(data).splitlines():
+            if line.startswith(("Date:", "date:")):
+                return line[5:].strip(), "email_header"
+    return None, None
+
+
+def stated_dates(files: DataFrame) -> DataFrame:
+    """(path, raw, source) of files (path, extension, content): dates as written, null where there is none."""
+
+    def run(batches):
+        for batch in batches:
+            got = [raw_date(e, d) for e, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.string())], names=["path", "raw", "source"]
+            )
+
+    return files.select("path", "extension", "content").mapInArrow(run, "path string, raw string, source string")
+
+
 def extract(kind: str, data: bytes) -> tuple[set[int], list[str]]:
     """(tokens, media hashes) of content of a kind."""
     text = lambda: shingles(read_text(data))

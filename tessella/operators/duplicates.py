@@ -22,17 +22,25 @@ def size_groups(files: DataFrame) -> DataFrame:
     return files.groupBy("size").agg(F.count("*").alias("n_files")).filter("n_files > 1")
 
 
+def fingerprints(files: DataFrame) -> DataFrame:
+    """(path, size, sample, hash) of files, taken where they are read: contents are never shuffled."""
+    return files.select("path", "size", sample_hash(F.col("content"), F.col("size")).alias("sample"), F.sha2(F.col("content"), 256).alias("hash"))
+
+
 def sample_survivors(files: DataFrame) -> DataFrame:
-    """Files that share size and sample hash with another: only these need a full hash.
+    """Fingerprints of files that share size and sample hash with another.
 
     Candidates come by joins with aggregated groups, so no group is gathered in a window."""
-    candidates = files.join(size_groups(files).select("size"), "size", "left_semi").withColumn("sample", sample_hash(F.col("content"), F.col("size")))
-    repeated = candidates.groupBy("size", "sample").agg(F.count("*").alias("n")).filter("n > 1").select("size", "sample")
-    return candidates.join(repeated, ["size", "sample"], "left_semi")
+    prints = fingerprints(files)
+    repeated = prints.groupBy("size", "sample").agg(F.count("*").alias("n")).filter("n > 1").select("size", "sample")
+    return prints.join(repeated, ["size", "sample"], "left_semi").select("path", "size", "sample", "hash")
 
 
 def hashed(files: DataFrame) -> DataFrame:
-    return sample_survivors(files).select("path", "size", F.sha2(F.col("content"), 256).alias("hash"))
+    """(path, size, hash) of files that may have a copy; of files with a ``hash`` already, those that share it."""
+    if "hash" in files.columns:
+        return files.select("path", "size", "hash")
+    return sample_survivors(files).select("path", "size", "hash")
 
 
 def duplicate_groups(files: DataFrame) -> DataFrame:

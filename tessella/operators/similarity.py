@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import coverage, path_key, relationship, shingle_tokens
+from tessella.functions.text import coverage, dice, path_key, relationship, shingle_tokens
 from tessella.operators.components import connected_components
 from tessella.runtime import materialize
 
@@ -72,15 +72,19 @@ def signature(tokens: np.ndarray, pairs: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, config: SimilarityConfig = SimilarityConfig()) -> DataFrame:
     """(path, tokens, sig) of documents (path, text) with at least one token."""
+    return signed(docs.select("path", shingle_tokens(F.col("text")).alias("tokens")), config)
+
+
+def signed(tokens: DataFrame, config: SimilarityConfig = SimilarityConfig()) -> DataFrame:
+    """(path, tokens, sig) of (path, tokens) with at least one token."""
     pairs = np.array(coefficients(config.seed, config.num_hashes), np.uint64)
-    tokens = docs.select("path", shingle_tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
 
     def run(batches):
         for batch in batches:
             sigs = [signature(t.values.to_numpy(), pairs).astype(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigs, pa.list_(pa.int64()))], names=["path", "tokens", "sig"])
 
-    return tokens.mapInArrow(run, "path string, tokens array<long>, sig array<long>")
+    return tokens.select("path", "tokens").filter(F.size("tokens") > 0).mapInArrow(run, "path string, tokens array<long>, sig array<long>")
 
 
 def bands(signed: DataFrame, config: SimilarityConfig = SimilarityConfig()) -> DataFrame:
@@ -100,14 +104,37 @@ def candidate_components(signed: DataFrame, config: SimilarityConfig = Similarit
     return connected_components(edges).select(F.col("node").alias("path"), "component")
 
 
-def similar_pairs(docs: DataFrame, config: SimilarityConfig = SimilarityConfig()) -> DataFrame:
+def _within(members: DataFrame, block: int) -> DataFrame:
+    """Pairs (a, s_a, b, s_b) of each component's members, ``a`` first by path. Components are cut into
+    blocks, and pairs of blocks go to different tasks."""
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    rows = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("path"), F.col("parts")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    a = rows.select("component", F.col("own").alias("left"), each.alias("right"), F.col("path").alias("a"), F.col("sig").alias("s_a"))
+    b = rows.select("component", each.alias("left"), F.col("own").alias("right"), F.col("path").alias("b"), F.col("sig").alias("s_b"))
+    return a.join(b, ["component", "left", "right"]).filter(path_key(F.col("a")) < path_key(F.col("b")))
+
+
+def similar_pairs(docs: DataFrame, config: SimilarityConfig = SimilarityConfig(), block: int = 1000) -> DataFrame:
     """(a, b, jaccard, a_to_b, b_to_a, relationship) of pairs in one candidate component whose
-    estimated Jaccard similarity reaches the cutoff; ``a`` comes first by path."""
-    signed = materialize(signatures(docs, config), "signed")
-    members = signed.join(candidate_components(signed, config), "path")
-    side = lambda x: members.select("component", F.col("path").alias(x), F.col("tokens").alias(f"t_{x}"), F.col("sig").alias(f"s_{x}"))
-    pairs = side("a").join(side("b"), "component").filter(path_key(F.col("a")) < path_key(F.col("b")))
+    estimated Jaccard similarity reaches the cutoff; ``a`` comes first by path.
+
+    ``docs`` are (path, text), or (path, tokens) of any formats. Only signatures meet within a
+    component; token sets are fetched for the pairs that are left."""
+    ready = materialize(signed(docs, config) if "tokens" in docs.columns else signatures(docs, config), "signed")
+    members = ready.select("path", "sig").join(candidate_components(ready, config), "path")
     equal = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.withColumn("jaccard", equal / config.num_hashes).filter(F.col("jaccard") >= config.cutoff)
+    near = _within(members, block).select("a", "b", (equal / config.num_hashes).alias("jaccard")).filter(F.col("jaccard") >= config.cutoff)
+    side = lambda x: ready.select(F.col("path").alias(x), F.col("tokens").alias(f"t_{x}"))
+    pairs = materialize(near, "near").join(side("a"), "a").join(side("b"), "b")
     pairs = pairs.withColumns({"a_to_b": coverage(F.col("t_a"), F.col("t_b")), "b_to_a": coverage(F.col("t_b"), F.col("t_a"))})
     return pairs.select("a", "b", "jaccard", "a_to_b", "b_to_a", relationship(F.col("a_to_b"), F.col("b_to_a"), config.high_coverage).alias("relationship"))
+
+
+def with_media(pairs: DataFrame, media: DataFrame) -> DataFrame:
+    """Adds ``media_match_score`` of two files' embedded media, from (path, media); null if neither has any."""
+    side = lambda x: media.select(F.col("path").alias(x), F.col("media").alias(f"m_{x}"))
+    rows = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    none = F.array().cast("array<string>")
+    score = dice(F.coalesce("m_a", none), F.coalesce("m_b", none))
+    return rows.select(*pairs.columns, score.alias("media_match_score"))

@@ -14,6 +14,7 @@ from tessella.functions import dates, policy
 from tessella.functions import text as T
 from tessella.operators import duplicates, manifest, reconcile, similarity, versions
 from tessella.runtime import materialize, table
+from tessella.sources import store
 
 
 def files(spark, sf_dir: str) -> DataFrame:
@@ -197,10 +198,48 @@ def header_dates(spark, d):
     return table(spark, d, "events").select("event_id", dates.rfc5322_millis(mail).alias("mail_ms"), dates.w3cdtf_millis(office).alias("office_ms"))
 
 
+def duplicate_paths(spark, d):
+    return manifest.duplicate_paths(manifest_files(spark, d))
+
+
+def manifest_families(spark, d):
+    return manifest.named_families(_ranked(spark, d)[2])
+
+
+def journal_runs(spark, d):
+    """Counts of two runs: a plan there and back, and the first one's transfers."""
+    a, b = trees(spark, d)
+    there, back = reconcile.plan(a, b), reconcile.plan(b, a)
+    runs = spark.createDataFrame([(1,), (2,)], "run_id long")
+    entries = reconcile.journal_entries(there, 1).unionByName(reconcile.journal_entries(back, 2))
+    events = there.filter("state IN ('missing', 'partial')").select(F.lit(1).cast("long").alias("run_id"))
+    return store.counts(runs, entries, events).join(store.latest_run(runs).withColumn("latest", F.lit(True)), "run_id", "left").fillna(False, ["latest"])
+
+
+def best_dates(spark, d):
+    """Dates of events written as different files state them."""
+    x, day = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd")
+    source = F.element_at(F.array(*map(F.lit, ["office_metadata", "exif", "email_header", "exif"])), (x % 4 + 1).cast("int"))
+    raw = (
+        F.when(x % 4 == 0, F.concat(day, F.lit("T"), F.date_format("ts", "HH:mm:ss"), F.lit("Z"))).when(x % 4 == 1, F.date_format("ts", "yyyy:MM:dd HH:mm:ss"))
+        .when(x % 4 == 2, F.date_format("ts", "d MMM yyyy HH:mm:ss Z")).otherwise("no date")
+    )
+    millis, origin = dates.best_date(raw, source, x * 1000)
+    return table(spark, d, "events").select("event_id", millis.alias("date_ms"), origin.alias("date_source"))
+
+
+def media_dice(spark, d):
+    """Dice of the kinds of events that neighbouring users have."""
+    kinds = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_set(F.concat("event_type", F.lit("-"), F.col("event_id") % 7))).alias("media"))
+    files_ = kinds.select(F.col("user_id").cast("string").alias("path"), "media")
+    pairs = kinds.select(F.col("user_id").cast("string").alias("a"), (F.col("user_id") + 1).cast("string").alias("b"))
+    return similarity.with_media(pairs, files_)
+
+
 _NAMES = """scan_summary ignore_filter scan_union_roots classify_kinds size_groups sample_prefilter exact_duplicates dup_representatives
 analyze_report cache_lookup cache_upsert token_sets similar_pairs coverage_pairs version_families flagged_diverged collapse_decisions
 collapse_summary apply_collapse preflight_issues path_collision reconcile_states reconcile_summary transfer_summary journal_counts manifest_files
-manifest_dup_groups verify_diff integrity_vote header_dates""".split()
+manifest_dup_groups verify_diff integrity_vote header_dates duplicate_paths manifest_families journal_runs best_dates media_dice""".split()
 
 
 def queries() -> dict[str, Callable]:

@@ -72,6 +72,19 @@ x AS (SELECT s.relative_path, CASE WHEN d.hash = s.hash THEN 'unchanged' WHEN d.
   CASE WHEN d.hash IS NOT NULL THEN s.relative_path ELSE p END AS current_path FROM src s LEFT JOIN dst d ON d.relative_path = s.relative_path LEFT JOIN first ON first.hash = s.hash)
 SELECT * FROM x UNION ALL SELECT relative_path, 'unrecorded', relative_path FROM dst WHERE relative_path NOT IN (SELECT current_path FROM x WHERE current_path IS NOT NULL)"""
     return {
+        "duplicate_paths": f"""WITH {FILES} SELECT sha256(text) AS sha256, size, path AS relative_path FROM f WHERE sha256(text) IN (SELECT sha256(text) FROM f GROUP BY 1 HAVING count(*) > 1)""",
+        "manifest_families": f"""WITH RECURSIVE {similar}, {_RANKED}, named AS (SELECT family, row_number() OVER (ORDER BY count(*) DESC, family) - 1 AS k FROM ranked GROUP BY family)
+            SELECT printf('f_%05d', k) AS family_id, rank, path FROM ranked JOIN named ON named.family = ranked.family""",
+        "journal_runs": f"""{plan}, back AS (SELECT (SELECT count(*) FROM dst) + (SELECT count(*) FROM src WHERE key NOT IN (SELECT key FROM dst)
+              AND relative_path NOT IN (SELECT t FROM (SELECT d.hash, arg_min(s.relative_path, string_split(s.relative_path, '/')) AS t FROM (SELECT * FROM src WHERE key NOT IN (SELECT key FROM dst)) s
+                JOIN (SELECT * FROM dst WHERE key NOT IN (SELECT key FROM src)) d ON d.hash = s.hash GROUP BY d.hash))) AS n)
+            SELECT 1::BIGINT AS run_id, count(*) AS n_entries, count(*) FILTER (WHERE state IN ('missing', 'partial')) AS n_events, false AS latest FROM plan
+            UNION ALL SELECT 2, n, 0, true FROM back""",
+        "best_dates": """SELECT event_id, CASE WHEN event_id % 4 = 3 THEN event_id * 1000 ELSE epoch_ms(date_trunc('second', ts)) END AS date_ms,
+            CASE event_id % 4 WHEN 0 THEN 'office_metadata' WHEN 1 THEN 'exif' WHEN 2 THEN 'email_header' ELSE 'filesystem_modified' END AS date_source FROM events""",
+        "media_dice": """WITH k AS (SELECT user_id, list(DISTINCT event_type || '-' || (event_id % 7)) AS m FROM events GROUP BY user_id)
+            SELECT a.user_id::VARCHAR AS a, (a.user_id + 1)::VARCHAR AS b, 2 * len(list_intersect(a.m, coalesce(b.m, []))) / (len(a.m) + len(coalesce(b.m, []))) AS media_match_score
+            FROM k a LEFT JOIN k b ON b.user_id = a.user_id + 1""",
         "scan_summary": f"WITH {FILES} SELECT string_split(path, '/')[1] AS root, count(*) AS n_files, sum(size)::BIGINT AS bytes FROM f GROUP BY 1",
         "ignore_filter": "SELECT doc_id, 'root/keep.txt' AS path FROM documents WHERE doc_id % 5 > 2",
         "scan_union_roots": f"WITH {FILES} SELECT path, size FROM f WHERE size % 2 = 0 OR size % 3 = 0",
@@ -95,7 +108,7 @@ SELECT * FROM x UNION ALL SELECT relative_path, 'unrecorded', relative_path FROM
               CASE WHEN n.path IS NULL OR (n.size = c.size AND n.mtime_ms = c.mtime_ms) THEN c.full_hash END AS full_hash
             FROM n FULL JOIN c ON n.path = c.path""",
         "token_sets": f"WITH {FILES}, {_TOKENS.replace('SRC', 'f')} SELECT doc_id, count(*) AS n_tokens, min(t) AS least, max(t) AS most FROM k GROUP BY doc_id",
-        "coverage_pairs": f"""WITH {FILES}, {_TOKENS.replace('SRC', 'f')}, s AS (SELECT f.doc_id, coalesce(ts, []) AS ts FROM f LEFT JOIN (SELECT doc_id, list(t) AS ts FROM k GROUP BY 1) l ON l.doc_id = f.doc_id WHERE f.doc_id < 400)
+        "coverage_pairs": f"""WITH {FILES}, {_TOKENS.replace('SRC', 'f')}, s AS (SELECT f.doc_id, coalesce(ts, []) AS ts FROM f LEFT JOIN (SELECT doc_id, list(t) AS ts FROM k GROUP BY 1) l ON l.doc_id = f.doc_id)
             SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN len(a.ts) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a.ts, b.ts)) / len(a.ts) END AS a_to_b,
               CASE WHEN len(a.ts) + len(b.ts) > 0 THEN 2 * len(list_intersect(a.ts, b.ts)) / (len(a.ts) + len(b.ts)) END AS dice FROM s a JOIN s b ON b.doc_id = a.doc_id + 1""",
         "similar_pairs": f"WITH RECURSIVE {similar} SELECT a, b, jaccard, a_to_b, b_to_a, relationship FROM pairs",
