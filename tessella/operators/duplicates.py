@@ -64,9 +64,10 @@ def representatives(files: DataFrame) -> DataFrame:
     return files.join(later, "path", "left_anti")
 
 
-def analyze_report(files: DataFrame) -> DataFrame:
+def analyze_report(files: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """Totals of files, and of the groups of those that have a copy; ``hashes`` (path, size, hash) if known."""
     totals = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
-    found = duplicate_groups(files).agg(
+    found = duplicate_groups(files if hashes is None else hashes).agg(
         F.count("*").alias("groups"), F.coalesce(F.sum("n_files"), F.lit(0)).alias("duplicate_files"), F.coalesce(F.sum("reclaimable"), F.lit(0)).alias("reclaimable")
     )
     return totals.join(found)

@@ -26,7 +26,8 @@ def path_collisions(source: DataFrame) -> DataFrame:
 
 
 def plan(source: DataFrame, destination: DataFrame, rules: PreflightRules = PreflightRules()) -> DataFrame:
-    """(relative_path, size, state, destination_relative, issues).
+    """(relative_path, size, state, destination_relative, issues); a hash may be null where no file of
+    the other side has the same size.
 
     Paths meet by normalised key; what has no partner meets by content hash. Of several destination
     files with one key, or one hash, the first by path counts."""
@@ -52,7 +53,7 @@ def plan(source: DataFrame, destination: DataFrame, rules: PreflightRules = Pref
     lone = pairs.filter(F.col("d_size").isNull()).withColumn("issues", path_issues(F.col("relative_path"), F.col("size"), rules))
     matched_first = claimed.withColumn("r", F.lit(1))
     residue = d.join(matched_first, ["key", "r"], "left_anti")
-    by_hash = residue.withColumn("h", F.row_number().over(first("hash"))).filter("h = 1").select(
+    by_hash = residue.filter("hash IS NOT NULL").withColumn("h", F.row_number().over(first("hash"))).filter("h = 1").select(
         "hash", F.col("relative_path").alias("target"), F.col("key").alias("target_key")
     )
     ok = F.size("issues") == 0

@@ -66,10 +66,11 @@ def families(pairs: DataFrame, files: DataFrame, count_self: bool = True) -> Dat
     return rows.select("family", "path", F.row_number().over(order).alias("rank"), "completeness", F.col("covered").isNull().alias("is_tip"))
 
 
-def collapse_decisions(files: DataFrame, ranked: DataFrame, config: CollapseConfig = CollapseConfig()) -> DataFrame:
-    """(path, size, action, reason): exact duplicates first, then families, then all others are kept."""
+def collapse_decisions(files: DataFrame, ranked: DataFrame, config: CollapseConfig = CollapseConfig(), hashes: DataFrame | None = None) -> DataFrame:
+    """(path, size, action, reason): exact duplicates first, then families, then all others are kept.
+    ``hashes`` (path, size, hash) if they are known; else contents are hashed."""
     drop = "archive" if config.archive else "collapse"
-    copies = duplicate_members(files).select("path", "first_path")
+    copies = duplicate_members(files if hashes is None else hashes).select("path", "first_path")
     rows = files.select("path", "size").join(copies, "path", "left").join(ranked.select("path", "rank", "is_tip"), "path", "left")
     protected = F.coalesce(extension(F.col("path")).isin([e.lower() for e in config.protected_extensions]), F.lit(False)) if config.protected_extensions else F.lit(False)
     reason = (

@@ -55,3 +55,33 @@ def test_extracted_rows(spark):
     rows = [("a.docx", "docx", b"not a zip"), ("b.txt", "plain_text", b"one two"), ("c", None, b""), ("d.txt", "plain_text", b"  "), ("e", "plain_text", None)]
     got = {r["path"]: r["skip_reason"] for r in X.extracted(spark.createDataFrame(rows, "path string, kind string, content binary")).collect()}
     assert got == {"a.docx": "failed: BadZipFile", "b.txt": None, "c": "unsupported", "d.txt": "empty", "e": "unreadable"}
+
+
+def test_rtf_notes_and_words_with_marks(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.functions import text as T
+
+    assert X.rtf_text(r"{\rtf1 seen{\footnote hidden}{\annotation no}{\field x}{\headerl kept}}") == "seenkept"
+    for words in ("हिन्दी भाषा में पाँच शब्द हैं", "naïve e\u0301te\u0301 ½ Ⅳ x_y a-b", "اللُّغَة العربية"):
+        column = spark.createDataFrame([(words,)], "t string").select(T.shingle_tokens(F.col("t"))).first()[0]
+        assert set(column) == X.shingles(words)
+
+
+def test_stated_dates(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.functions import dates
+
+    core = '<c xmlns:d="d"><d:created>2020-01-01T00:00:00Z</d:created><d:modified>2021-02-03T04:05:06Z</d:modified></c>'
+    rows = [
+        ("a.docx", "docx", zipped(docProps__core__xml="", **{"docProps__core.xml": core}), 5), ("b.docx", "docx", b"bad", 6),
+        ("c.eml", "eml", b"To: x\nDate: Mon, 01 Feb 2021 10:20:07 +0130\n\nhi", 7), ("d.txt", "txt", b"Date: 1 Jan 2020 00:00", 8), ("e.eml", "eml", b"none", 9),
+    ]
+    files = spark.createDataFrame(rows, "path string, extension string, content binary, mtime_ms long")
+    got = X.stated_dates(files).join(files.select("path", "mtime_ms"), "path")
+    millis, source = dates.best_date(F.col("raw"), F.col("source"), F.col("mtime_ms"))
+    found = {r[0]: (r[1], r[2]) for r in got.select("path", millis, source).collect()}
+    fs = "filesystem_modified"
+    assert found == {"a.docx": (1612325106000, "office_metadata"), "b.docx": (6, fs), "c.eml": (1612169407000, "email_header"), "d.txt": (8, fs), "e.eml": (9, fs)}
+    assert spark.createDataFrame([("2020:01:02 03:04:05",), ("2020:01:02 x",), ("no",)], "x string").select(dates.exif_millis(F.col("x"))).collect() == [(1577934245000,), (1577923200000,), (None,)]
