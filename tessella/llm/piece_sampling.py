@@ -30,7 +30,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -241,11 +241,15 @@ class Lattices:
         """Numbers of ``words`` in ``self.words``; they hold until the next call."""
         if len(self.words.chars) > self.most_states:
             self.number, self.words = {}, word_lattices([], self.v)
-        fresh = [w for w in dict.fromkeys(words) if w not in self.number]
-        if fresh:
+        out = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            named = list(map(words.__getitem__, missing.tolist()))
+            fresh = list(dict.fromkeys(named))
             self.words = _joined(self.words, word_lattices(fresh, self.v))
             self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+            out[missing] = np.fromiter(map(self.number.__getitem__, named), np.int64, len(named))
+        return out
 
 
 def _uniform(seeds: np.ndarray, *parts) -> np.ndarray:
@@ -513,10 +517,26 @@ def encode(docs: DataFrame, config: SampleConfig = SampleConfig(), key: str = "d
 
 
 def _decoder(spelled: list[bytes], at: int):
+    table = pa.array(spelled, pa.large_binary())
+
     def run(batches):
         for batch in batches:
-            texts = [_text(x.values.to_numpy().tolist(), spelled) if x.is_valid else None for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            ids = batch.column(at)
+            # the spellings of a batch's ids lie end to end, so a text is a slice of them
+            bounds = ids.offsets.to_numpy().astype(np.int64)
+            joined = table.take(ids.values[bounds[0] : bounds[-1]])
+            ends = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset :][bounds - bounds[0]] if len(joined) else np.zeros(len(bounds), np.int64)
+            # each text has a space before it, which goes
+            data = np.frombuffer(joined.buffers()[2] or b"", np.uint8)[int(ends[0]) : int(ends[-1])]
+            some = np.diff(ends) > 0
+            kept = np.ones(len(data), bool)
+            kept[(ends[:-1] - ends[0])[some]] = False
+            ends = ends - ends[0] - np.append(0, np.cumsum(some))
+            nulls = ids.is_valid().buffers()[1] if ids.null_count else None
+            texts = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(ends.tobytes()), pa.py_buffer(data[kept].tobytes()), nulls)
+            texts = texts.cast(pa.string())
+            texts.validate(full=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
 
     return run
 

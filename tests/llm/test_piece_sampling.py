@@ -4,10 +4,11 @@ from collections import Counter
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessella.llm.piece_sampling import SampleConfig, chunked, decode, decode_ids, encode, load_vocabulary, sample_texts
+from tessella.llm.piece_sampling import Lattices, SampleConfig, _decoder, _spelled, chunked, decode, decode_ids, encode, load_vocabulary, sample_texts
 
 CONFIG = SampleConfig(samples=3)
 V = load_vocabulary(CONFIG)
@@ -100,3 +101,21 @@ def test_rows(spark):
     assert {(r["doc_id"], r["decoded"]) for r in got} == {(k, t or "") for k, t, _ in rows}
     assert Counter(r["doc_id"] for r in got) == {1: 3, None: 3, 2: 1, 3: 1, 4: 6}
     assert encode(docs.limit(0)).count() == 0
+
+
+def test_kept_lattices_do_not_matter():
+    texts = [" ".join(f"{w}{k % 7}" for w in ("alpha", "beta", "gamma", f"rare{k}")) for k in range(40)]
+    few = Lattices(V, 200)
+    for k, t in enumerate(texts):
+        (a,), (b,) = sample_texts([k], [chunked(t)], V, CONFIG), sample_texts([k], [chunked(t)], V, CONFIG, few)
+        assert [(list(x[0]), *x[1:]) for x in a] == [(list(x[0]), *x[1:]) for x in b]
+    assert 0 < len(few.number) < len({c for t in texts for c in chunked(t)})  # it started anew
+    assert len(few.words.chars) == sum(len(w) + 1 for w in few.number)
+
+
+def test_decoder_handles_nulls_slices_and_no_rows():
+    spelled, ids = _spelled(V.pieces, V.bytes_at), sample_texts([1], [chunked("two words")], V, CONFIG)[0][0][0].tolist()
+    whole = pa.RecordBatch.from_arrays([pa.array([None, [], ids, None, ids], pa.list_(pa.int32()))], names=["ids"])
+    empty = pa.RecordBatch.from_arrays([pa.array([], pa.list_(pa.int32()))], names=["ids"])
+    got = [b.column("decoded").to_pylist() for b in _decoder(spelled, 0)([whole, whole.slice(2, 2), whole.slice(0, 1), empty])]
+    assert got == [[None, "", "two words", None, "two words"], ["two words", None], [None], []]
