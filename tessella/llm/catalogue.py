@@ -71,7 +71,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode(table(spark, sf_dir, "documents"), with_digest=True)
     back = F.sha2(F.col("decoded").cast("binary"), 256) == F.col("text_sha256")
-    ids = F.sha2(F.array_join("ids", ",").cast("binary"), 256)
+    # as array_join(ids, ","), without a string for each of them
+    ids = F.sha2(F.btrim(F.to_json("ids"), F.lit("[]")).cast("binary"), 256)
     return decode(encoded).select(
         "doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), "log_prob", "log_inclusion", ids.alias("ids_sha256"), back.alias("round_trip")
     )

@@ -224,18 +224,26 @@ def word_lattices(words: list[str], v: Vocabulary) -> Words:
     return Words(base, length, first, size.astype(np.int32), piece, chance, cdf, end.astype(np.int32), chars.astype(np.uint32))
 
 
-def _joined(a: Words, b: Words) -> Words:
-    """Lattices of both, those of ``b`` after those of ``a``."""
-    states, edges = len(a.chars), len(a.ids)
-    shifted = {"base": b.base + states, "first": b.first[1:] + edges, "end": b.end + np.int32(states)}
-    return Words(**{k: np.concatenate([x, shifted.get(k, getattr(b, k))]) for k, x in vars(a).items()})
-
-
 class Lattices:
     """Lattices of the words a worker has met, by their numbers."""
 
     def __init__(self, v: Vocabulary, most_states: int = KEPT_STATES):
         self.v, self.most_states, self.number, self.words = v, most_states, {}, word_lattices([], v)
+        self.room: dict[str, np.ndarray] = {}
+
+    def _add(self, b: Words) -> None:
+        """Puts the lattices of ``b`` after the others, in arrays that grow by doubling."""
+        states, edges, grown = len(self.words.chars), len(self.words.ids), {}
+        shifted = {"base": b.base + states, "first": b.first[1:] + edges, "end": b.end + np.int32(states)}
+        for k, old in vars(self.words).items():
+            new = shifted.get(k, getattr(b, k))
+            n = len(old) + len(new)
+            if k not in self.room or len(self.room[k]) < n:
+                self.room[k] = np.empty(2 * n, new.dtype)
+                self.room[k][: len(old)] = old
+            self.room[k][len(old) : n] = new
+            grown[k] = self.room[k][:n]
+        self.words = Words(**grown)
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """Numbers of ``words`` in ``self.words``; they hold until the next call."""
@@ -246,7 +254,7 @@ class Lattices:
         if len(missing):
             named = list(map(words.__getitem__, missing.tolist()))
             fresh = list(dict.fromkeys(named))
-            self.words = _joined(self.words, word_lattices(fresh, self.v))
+            self._add(word_lattices(fresh, self.v))
             self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
             out[missing] = np.fromiter(map(self.number.__getitem__, named), np.int64, len(named))
         return out
@@ -451,7 +459,14 @@ def _ids(w: Words, edges: np.ndarray, v: Vocabulary) -> np.ndarray:
 
 def chunked(text: str) -> list[str]:
     """Parts of a text, after one leading space, that no piece crosses."""
-    return _CHUNK.findall(" " + text) if text else []
+    if not text:
+        return []
+    text = " " + text
+    if "  " in text or "\0" in text:
+        return _CHUNK.findall(text)
+    # the same where no spaces follow each other: cut before spaces and around line ends and tabs
+    cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace("\t", "\0\t\0")
+    return list(filter(None, cut.split("\0")))
 
 
 def _spelled(pieces: list[str], bytes_at: int) -> list[bytes]:

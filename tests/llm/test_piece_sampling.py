@@ -8,7 +8,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessella.llm.piece_sampling import Lattices, SampleConfig, _decoder, _spelled, chunked, decode, decode_ids, encode, load_vocabulary, sample_texts
+from tessella.llm.piece_sampling import _CHUNK, Lattices, SampleConfig, _decoder, _spelled, chunked, decode, decode_ids, encode, load_vocabulary, sample_texts
 
 CONFIG = SampleConfig(samples=3)
 V = load_vocabulary(CONFIG)
@@ -119,3 +119,10 @@ def test_decoder_handles_nulls_slices_and_no_rows():
     empty = pa.RecordBatch.from_arrays([pa.array([], pa.list_(pa.int32()))], names=["ids"])
     got = [b.column("decoded").to_pylist() for b in _decoder(spelled, 0)([whole, whole.slice(2, 2), whole.slice(0, 1), empty])]
     assert got == [[None, "", "two words", None, "two words"], ["two words", None], [None], []]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab \n\té", max_size=20))
+def test_chunks_are_those_of_the_pattern(text):
+    assert chunked(text) == (_CHUNK.findall(" " + text) if text else [])
+    assert chunked(text + "\0") == _CHUNK.findall(" " + text + "\0")
