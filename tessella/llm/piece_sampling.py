@@ -50,6 +50,7 @@ KEPT_STATES = 256 << 10
 TOGETHER = 40
 _CHUNK = re.compile(r" *[^ \n\t]+| +|[\n\t]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(44)
 
 
@@ -75,8 +76,9 @@ class Vocabulary:
         weight = -np.log(np.arange(len(self.pieces)) + 2.0)
         weight = self.alpha * (weight - np.log(np.exp(weight).sum()))
         keys = np.array([_string_hash(p) for _, p in plain], np.uint64)
-        order = np.argsort(keys)
-        place = (keys[order] >> _SHIFT).astype(np.int64)
+        place = ((keys * _SPREAD) >> _SHIFT).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        place = place[order]
         # the first key of each bucket, and how many a bucket has at most
         self.first = np.full(1 << 20, -1, np.int32)
         self.first[place[::-1]] = np.arange(len(place))[::-1]
@@ -85,22 +87,24 @@ class Vocabulary:
         self.ids = np.append(np.array([k for k, _ in plain], np.int32)[order], np.zeros(self.most, np.int32))
         begins = {p[:n] for _, p in plain for n in range(1, len(p))}
         self.grows = np.zeros(1 << 20, bool)
-        self.grows[(np.array([_string_hash(p) for p in begins], np.uint64) >> _SHIFT).astype(np.int64)] = True
+        self.grows[((np.array([_string_hash(p) for p in begins], np.uint64) * _SPREAD) >> _SHIFT).astype(np.int64)] = True
         self.weights = weight[self.ranks]
         self.byte_weight = float(weight[-1])
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which of the hashed strings are pieces, their ids, and which may begin a longer piece."""
-        bucket = (h >> _SHIFT).astype(np.int64)
+        bucket = ((h * _SPREAD) >> _SHIFT).astype(np.int64)
         first = self.first[bucket]
         maybe = np.flatnonzero(first >= 0)
-        at, own, ids = first[maybe], h[maybe], np.full(len(maybe), -1, np.int32)
-        for _ in range(self.most):
-            hit = self.keys[at] == own
-            ids[hit] = self.ids[at[hit]]
-            at = at + 1
-        hit = ids >= 0
-        return maybe[hit], ids[hit], np.flatnonzero(self.grows[bucket])
+        at, own = first[maybe], h[maybe]
+        other = np.flatnonzero(self.keys[at] != own)
+        for _ in range(1, self.most):
+            # only what its place does not hold moves to the next one
+            at[other] += 1
+            other = other[self.keys[at[other]] != own[other]]
+        hit = np.ones(len(maybe), bool)
+        hit[other] = False
+        return maybe[hit], self.ids[at[hit]], np.flatnonzero(self.grows[bucket])
 
 
 def _scramble(h: np.ndarray) -> np.ndarray:
@@ -110,10 +114,10 @@ def _scramble(h: np.ndarray) -> np.ndarray:
 
 
 def _string_hash(text: str) -> int:
-    h = np.zeros(1, np.uint64)
+    h = 0
     for c in text:
-        h = h * _BASE + np.uint64(ord(c) + 1)
-    return int(_scramble(h)[0])
+        h = (h * int(_BASE) + ord(c) + 1) % 2**64
+    return h
 
 
 def load_vocabulary(config: SampleConfig = SampleConfig()) -> Vocabulary:
@@ -153,7 +157,7 @@ class Words:
 
 
 def word_lattices(words: list[str], v: Vocabulary) -> Words:
-    length = np.array([len(w) for w in words], np.int64)
+    length = np.fromiter(map(len, words), np.int64, len(words))
     base = np.cumsum(length + 1) - (length + 1)
     total = int((length + 1).sum())
     chars = np.zeros(total, np.uint64)
@@ -170,7 +174,7 @@ def word_lattices(words: list[str], v: Vocabulary) -> Words:
         inner = place[starts + n] >= n
         starts, h = starts[inner], h[inner]
         h = h * _BASE + (chars[starts + n] + np.uint64(1))
-        hit, piece, longer = v.find(_scramble(h))
+        hit, piece, longer = v.find(h)
         end = starts[hit] + n
         starts, h = starts[longer], h[longer]
         if n == 1:  # a character that is no piece goes in bytes
@@ -196,15 +200,20 @@ def word_lattices(words: list[str], v: Vocabulary) -> Words:
     turn = np.where(np.repeat(length <= TOGETHER, length + 1), place, TOGETHER + 1).astype(np.int16)[end]
     turns = np.argsort(turn, kind="stable")
     bounds = np.searchsorted(turn[turns], np.arange(1, TOGETHER + 2))
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        e = turns[a:b]
-        if not len(e):
-            continue
-        mass = state[end[e] - size[e]] * chance[e]
-        starts = np.flatnonzero(np.append(True, end[e][1:] != end[e][:-1]))
-        sums = np.add.reduceat(mass, starts)
-        state[end[e][starts]] = sums
-        chance[e] = mass / np.repeat(sums, np.diff(np.append(starts, len(e))))
+    turns = turns[: bounds[-1]]
+    # in this order: where the edges begin, the runs of edges with one end, and which runs a place has
+    into, part = end[turns], chance[turns]
+    begin = into - size[turns]
+    runs = np.flatnonzero(np.append(True, into[1:] != into[:-1])) if len(into) else turns
+    many, into, of_place = np.diff(np.append(runs, len(into))), into[runs], np.searchsorted(runs, bounds)
+    for a, b, r, q in zip(bounds[:-1], bounds[1:], of_place[:-1], of_place[1:], strict=True):
+        if a == b:
+            break
+        mass = state[begin[a:b]] * part[a:b]
+        sums = np.add.reduceat(mass, runs[r:q] - a)
+        state[into[r:q]] = sums
+        part[a:b] = mass / np.repeat(sums, many[r:q])
+    chance[turns] = part
     for w in np.flatnonzero(length > TOGETHER):
         logs = np.zeros(length[w] + 1)
         for j in range(1, length[w] + 1):
