@@ -37,15 +37,16 @@ def cover_edges(pairs: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Transitive closure by doubling: each round joins what is known with itself, until no pair is new."""
-    known = materialize(edges.distinct(), "closure")
-    size = known.count()
+    """Transitive closure by doubling: each round joins only pairs that the last one found with all that are known,
+    until no pair is new."""
+    known = new = materialize(edges.distinct(), "closure")
     for _ in range(max_rounds):
-        step = known.alias("x").join(known.alias("y"), F.col("x.held") == F.col("y.holder")).select(F.col("x.holder"), F.col("y.held"))
-        known = materialize(known.unionByName(step).distinct(), "closure")
-        if (grown := known.count()) == size:
+        ends = lambda x, y: x.alias("x").join(y.alias("y"), F.col("x.held") == F.col("y.holder")).select(F.col("x.holder"), F.col("y.held"))
+        step = ends(new, known).unionByName(ends(known, new)).distinct()
+        new = materialize(step.join(known, ["holder", "held"], "left_anti"), "closure")
+        if new.isEmpty():
             return known
-        size = grown
+        known = known.unionByName(new)
     raise RuntimeError("closure did not settle")
 
 
@@ -53,15 +54,28 @@ def families(pairs: DataFrame, files: DataFrame, count_self: bool = True) -> Dat
     """(family, path, rank, completeness, is_tip): families are named by their least path; members are
     ranked by how many members they hold, then newest, then by path. With ``count_self`` a member on a
     cycle of holders counts itself."""
-    merged = pairs.filter("relationship != 'diverged'")
-    member = connected_components(merged).select(F.col("node").alias("path"), F.col("component").alias("family"))
-    held = closure(cover_edges(merged))
-    if not count_self:
-        held = held.filter("holder != held")
-    complete = held.groupBy(F.col("holder").alias("path")).agg(F.count("*").alias("completeness"))
-    covered = held.filter("holder != held").select(F.col("held").alias("path")).distinct().withColumn("covered", F.lit(True))
-    rows = member.join(complete, "path", "left").join(covered, "path", "left").join(files.select("path", "mtime_ms"), "path", "left")
-    rows = rows.withColumn("completeness", F.coalesce("completeness", F.lit(0)).cast("long"))
+    merged = pairs.filter("relationship != 'diverged'").select("a", "b", "relationship")
+    # near duplicates hold each other, and so do all that they connect: these are one class, and classes hold classes
+    near = materialize(connected_components(merged.filter("relationship = 'near_duplicate'")).select(F.col("node").alias("path"), F.col("component").alias("class")), "near")
+    one_way = materialize(cover_edges(merged.filter("relationship != 'near_duplicate'")), "one_way")
+    ends = one_way.select(F.col("holder").alias("path")).unionByName(one_way.select(F.col("held").alias("path"))).distinct()
+    member = near.unionByName(ends.join(near, "path", "left_anti").withColumn("class", F.col("path")))
+    side = lambda x: member.select(F.col("path").alias(x), F.col("class").alias(f"{x}_class"))
+    # an edge within a class adds nothing: its ends hold each other already
+    across = one_way.join(side("holder"), "holder").join(side("held"), "held").select(F.col("holder_class").alias("holder"), F.col("held_class").alias("held"))
+    across = materialize(across.filter("holder != held").distinct(), "across")
+    family = connected_components(across, "holder", "held").select(F.col("node").alias("class"), F.col("component").alias("family"))
+    member = member.join(family, "class", "left").withColumn("family", F.coalesce("family", "class"))
+    held = closure(across)
+    sizes = member.groupBy("class").agg(F.count("*").alias("n"))
+    others = held.filter("holder != held").join(sizes.withColumnRenamed("class", "held"), "held").groupBy(F.col("holder").alias("class")).agg(F.sum("n").alias("others"))
+    # a cycle of classes: each holds itself, as a class of several members does
+    cyclic = held.filter("holder = held").select(F.col("holder").alias("class"), F.lit(True).alias("cyclic"))
+    covered = held.filter("holder != held").select(F.col("held").alias("class")).distinct().withColumn("under", F.lit(True))
+    by_class = sizes.join(others, "class", "left").join(cyclic, "class", "left").join(covered, "class", "left")
+    itself = F.when((F.col("n") > 1) | F.col("cyclic").isNotNull(), F.col("n") if count_self else F.col("n") - 1).otherwise(F.lit(0))
+    by_class = by_class.select("class", (itself + F.coalesce("others", F.lit(0))).cast("long").alias("completeness"), F.when((F.col("n") > 1) | F.col("under").isNotNull(), True).alias("covered"))
+    rows = member.join(by_class, "class").join(files.select("path", "mtime_ms"), "path", "left")
     order = Window.partitionBy("family").orderBy(F.desc("completeness"), F.desc(F.coalesce("mtime_ms", F.lit(0))), path_key(F.col("path")))
     return rows.select("family", "path", F.row_number().over(order).alias("rank"), "completeness", F.col("covered").isNull().alias("is_tip"))
 
