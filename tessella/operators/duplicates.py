@@ -58,9 +58,10 @@ def duplicate_members(files: DataFrame) -> DataFrame:
     return hashed(files).join(groups, "hash").select("path", "size", "hash", "first_path")
 
 
-def representatives(files: DataFrame) -> DataFrame:
-    """Files without the members of duplicate groups that aren't their first by path."""
-    later = duplicate_members(files).filter("path != first_path").select("path")
+def representatives(files: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """Files without the members of duplicate groups that aren't their first by path; ``hashes`` (path, size, hash)
+    if they are known."""
+    later = duplicate_members(files if hashes is None else hashes).filter("path != first_path").select("path")
     return files.join(later, "path", "left_anti")
 
 

@@ -88,9 +88,18 @@ def token_sets(spark, d):
     return t.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.min("token").alias("least"), F.max("token").alias("most"))
 
 
-def similar_pairs(spark, d):
+def _hashed(spark, d) -> DataFrame:
+    """(path, size, mtime_ms, hash) of all files: contents are read and hashed once for all steps."""
     f = files(spark, d)
-    return similarity.similar_pairs(duplicates.representatives(f).select("path", "text"))
+    return materialize(f.select("path", "size", "mtime_ms", F.sha2("content", 256).alias("hash")), "hashed")
+
+
+def _pairs(spark, d, known: DataFrame, links: bool = False) -> DataFrame:
+    return similarity.similar_pairs(duplicates.representatives(files(spark, d).select("path", "text"), known), links=links)
+
+
+def similar_pairs(spark, d):
+    return _pairs(spark, d, _hashed(spark, d))
 
 
 def coverage_pairs(spark, d):
@@ -102,13 +111,14 @@ def coverage_pairs(spark, d):
 
 
 def _ranked(spark, d):
-    f = files(spark, d)
-    pairs = materialize(similarity.similar_pairs(duplicates.representatives(f).select("path", "text")), "pairs")
-    return f, pairs, materialize(versions.families(pairs, f), "ranked")
+    """Files without contents, and their ranked families."""
+    known = _hashed(spark, d)
+    links = materialize(_pairs(spark, d, known, links=True), "links")
+    return known, materialize(versions.families(links, known), "ranked")
 
 
 def version_families(spark, d):
-    return _ranked(spark, d)[2]
+    return _ranked(spark, d)[1]
 
 
 def flagged_diverged(spark, d):
@@ -116,8 +126,8 @@ def flagged_diverged(spark, d):
 
 
 def collapse_decisions(spark, d):
-    f, _, ranked = _ranked(spark, d)
-    return versions.collapse_decisions(f, ranked)
+    known, ranked = _ranked(spark, d)
+    return versions.collapse_decisions(known, ranked)
 
 
 def collapse_summary(spark, d):
@@ -126,8 +136,8 @@ def collapse_summary(spark, d):
 
 def apply_collapse(spark, d):
     """The plan of two trees after collapse, which archives here."""
-    f, _, ranked = _ranked(spark, d)
-    decided = versions.collapse_decisions(f, ranked, versions.CollapseConfig(archive=True))
+    known, ranked = _ranked(spark, d)
+    decided = versions.collapse_decisions(known, ranked, versions.CollapseConfig(archive=True))
     return versions.apply_collapse(reconcile_states(spark, d), decided).select("relative_path", "size", "state")
 
 
@@ -203,7 +213,7 @@ def duplicate_paths(spark, d):
 
 
 def manifest_families(spark, d):
-    return manifest.named_families(_ranked(spark, d)[2])
+    return manifest.named_families(_ranked(spark, d)[1])
 
 
 def journal_runs(spark, d):
