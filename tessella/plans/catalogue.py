@@ -162,7 +162,9 @@ def trees(spark, d) -> tuple[DataFrame, DataFrame]:
     kept = f.filter(x % 5 != 0).select(path.alias("relative_path"), text.alias("text"))
     extra = f.filter(x % 13 == 0).select(F.concat(F.lit("extra/"), "path").alias("relative_path"), F.concat(F.lit("only here "), "path").alias("text"))
     dest = kept.unionByName(extra)
-    return source, dest.select("relative_path", F.octet_length("text").cast("long").alias("size"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    dest = dest.select("relative_path", F.octet_length("text").cast("long").alias("size"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    # texts are read and hashed once, however often a plan joins its sides
+    return materialize(source, "source"), materialize(dest, "destination")
 
 
 def reconcile_states(spark, d):
