@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.shingles import shingle_set, texts
 from tessella.operators.components import connected_components
-from tessella.runtime import lean, materialize
+from tessella.runtime import FEW, SOME, lean, materialize
 
 
 @dataclass(frozen=True)
@@ -324,13 +324,13 @@ def _set_arrays(config: JoinConfig):
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, config: JoinConfig) -> DataFrame:
     """The pairs (a, b) of set ids that link, by whole sets; reads only the texts it needs."""
-    pairs = materialize(pairs.select("a", "b"), "pairs")
+    pairs = materialize(pairs.select("a", "b"), "pairs", FEW)
     need = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    keys = materialize(need.join(sets, "set_id").select(F.col("first_key").alias("key")), "keys")
+    keys = materialize(need.join(sets, "set_id").select(F.col("first_key").alias("key")), "keys", FEW)
     few = keys.count() <= config.broadcast_keys
     found = docs.join(F.broadcast(keys) if few else keys, docs["key"].eqNullSafe(keys["key"]), "left_semi").select("text")
     arrays = materialize(
-        found.mapInArrow(_set_arrays(config), "set_id long, tokens array<long>").join(need, "set_id", "left_semi").dropDuplicates(["set_id"]), "sets"
+        found.mapInArrow(_set_arrays(config), "set_id long, tokens array<long>").join(need, "set_id", "left_semi").dropDuplicates(["set_id"]), "sets", SOME
     )
     side = lambda name: arrays.select(F.col("set_id").alias(name), F.col("tokens").alias(f"t_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -358,18 +358,18 @@ def _components(docs: DataFrame, config: JoinConfig, key: str, text: str) -> tup
     same = ["n", "print", *_coarse(config), "medium"]  # rows of one set have the same
     least = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "text_hash")).alias("first")
     sets = materialize(
-        summary.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("key").alias("first_key"), least, *(F.first(c).alias(c) for c in same)), "vertices"
+        summary.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("key").alias("first_key"), least, *(F.first(c).alias(c) for c in same)), "vertices", SOME
     )
 
     prefixes = plain.select("text").mapInArrow(_prefixes(sketch, noise, config), "token long, set_id long, n int, m tinyint")
     dealt = prefixes.repartition("token").sortWithinPartitions("token", "set_id")
     buckets = materialize(
-        dealt.mapInArrow(_buckets(config.hubs, config.percent), "token long, set_id long, n int, m tinyint, hubs array<long>"), "buckets"
+        dealt.mapInArrow(_buckets(config.hubs, config.percent), "token long, set_id long, n int, m tinyint, hubs array<long>"), "buckets", SOME
     )
     hubs = buckets.select("set_id", F.explode("hubs").alias("hub")).distinct().select(F.col("set_id").alias("a"), F.col("hub").alias("b"))
     near_hub = _passing(hubs, sets, config)
-    starred = materialize(_verified(near_hub, plain, sets, config), "links")
-    grouped = materialize(connected_components(starred).withColumnRenamed("node", "set_id"), "groups")
+    starred = materialize(_verified(near_hub, plain, sets, config), "links", FEW)
+    grouped = materialize(connected_components(starred).withColumnRenamed("node", "set_id"), "groups", FEW)
 
     named = buckets.select("token", "set_id", "n", "m").join(grouped, "set_id", "left").withColumn(
         "component", F.coalesce("component", "set_id")
@@ -383,7 +383,7 @@ def _components(docs: DataFrame, config: JoinConfig, key: str, text: str) -> tup
     # the shingles of a shared passage have the same members: one of them stands for all
     chosen = mixed.groupBy("x0", "x1", "c", "main").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
     far = [*_coarse(config), "medium"]
-    open_rows = materialize(named.join(chosen.select("token", "main", "weight"), "token").join(sets.select("set_id", *far), "set_id"), "open")
+    open_rows = materialize(named.join(chosen.select("token", "main", "weight"), "token").join(sets.select("set_id", *far), "set_id"), "open", SOME)
     x = open_rows.filter("component != main").select(*(F.col(c).alias(f"x_{c}") for c in ("token", "set_id", "n", "m", "component", "weight", *far)))
     y = open_rows.select(*(F.col(c).alias(f"y_{c}") for c in ("token", "set_id", "n", "m", "component", "main", *far)))
     met = x.join(
@@ -395,10 +395,10 @@ def _components(docs: DataFrame, config: JoinConfig, key: str, text: str) -> tup
         met.groupBy(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b"))
         .agg(F.sum("x_weight").alias("shared"), F.first(F.least("x_m", "y_m")).alias("asked")).filter("shared >= asked")
     )
-    crossing = materialize(_verified(_passing(rest, sets, config), plain, sets, config), "links")
+    crossing = materialize(_verified(_passing(rest, sets, config), plain, sets, config), "links", FEW)
     final = connected_components(starred.unionByName(crossing)).withColumnRenamed("node", "set_id")
     vertex = sets.select("set_id", "first_key", "first").join(final, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    return rows, materialize(vertex, "vertices")
+    return rows, materialize(vertex, "vertices", FEW)
 
 
 def jaccard_components(docs: DataFrame, config: JoinConfig = JoinConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:

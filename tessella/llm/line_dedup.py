@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.runtime import lean, materialize
+from tessella.runtime import FEW, lean, materialize
 
 _AROUND = " \t\n\x0b\x0c\r"
 
@@ -72,7 +72,7 @@ def boilerplate(docs: DataFrame, config: LineConfig = LineConfig(), text: str =
     named = F.when(F.col("site").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "site"))
     sketched = spread.groupBy("line").agg(F.hll_sketch_agg(named, F.lit(config.log_registers)).alias("sketch"))
     estimated = materialize(
-        sketched.select("line", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= config.min_sites / 2), "spread"
+        sketched.select("line", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= config.min_sites / 2), "spread", FEW
     )
     slack = 1 + config.band * config.min_sites * 1.04 / 2 ** (config.log_registers / 2)
     near = F.abs(F.col("sites") - config.min_sites) <= slack
@@ -138,7 +138,7 @@ def drop_boilerplate(
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, plus how many lines with content each
     text had and how many went."""
-    gone = materialize(boilerplate(docs, config, text, site), "boilerplate")
+    gone = materialize(boilerplate(docs, config, text, site), "boilerplate", FEW)
     fields = [T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)]
     at = docs.columns.index(text)
     if gone.count() <= config.broadcast_lines:

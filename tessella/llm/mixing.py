@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.runtime import columns, fresh, materialize
+from tessella.runtime import FEW, SOME, columns, fresh, materialize
 
 LEAF = ["domain", "lang", "source"]
 #: Hex digits of the hash by which tokens are summed.
@@ -86,7 +86,7 @@ def _filled(nodes: DataFrame, family: list[str], budget: str, out: str) -> DataF
 def leaf_budgets(tokens: DataFrame, config: MixConfig) -> DataFrame:
     """(domain, lang, source, tokens, budget, full, rest) from documents' (domain, lang, source, tokens)."""
     leaves = tokens.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens")).filter("tokens > 0")
-    leaves = materialize(leaves.withColumn("cap", F.col("tokens") * config.max_epochs), "leaves")
+    leaves = materialize(leaves.withColumn("cap", F.col("tokens") * config.max_epochs), "leaves", FEW)
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     budget = total * config.percent // 100
     domains = leaves.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumns(
@@ -107,12 +107,12 @@ def leaf_prefixes(units: DataFrame, config: MixConfig) -> DataFrame:
     """(domain, lang, source, budget, full, last): ``last`` bounds the order hashes of the prefix.
 
     ``units``: (domain, lang, source, key, tokens)."""
-    budgets = materialize(leaf_budgets(units, config), "budgets")
+    budgets = materialize(leaf_budgets(units, config), "budgets", FEW)
     small = budgets.count() <= config.broadcast_leaves
     side = F.broadcast(budgets) if small else budgets
     merged = units.groupBy(*LEAF, "key").agg(F.sum("tokens").alias("tokens"))  # repeated rows of a key together
     placed = merged.join(side.drop("tokens"), LEAF).withColumn("h", order_hash(F.col("key"), F.col("full"), config.seed))
-    placed = materialize(placed.select(*LEAF, "h", "tokens", "rest"), "placed")
+    placed = materialize(placed.select(*LEAF, "h", "tokens", "rest"), "placed", SOME)
     digits = F.substring("h", 1, DIGITS).alias("digits")
     sums = placed.groupBy(*LEAF, "rest", digits).agg(F.sum("tokens").alias("tokens"))
     w = Window.partitionBy(*LEAF).orderBy("digits")
@@ -121,7 +121,7 @@ def leaf_prefixes(units: DataFrame, config: MixConfig) -> DataFrame:
         .groupBy(*LEAF).agg(F.min(F.struct("digits", (F.col("upto") - F.col("tokens")).alias("before"))).alias("end"))
         .select(*LEAF, "end.digits", "end.before")
     )
-    ends = materialize(ends, "ends")
+    ends = materialize(ends, "ends", FEW)
     side = F.broadcast(ends) if small else ends
     inside = placed.withColumn("own", digits).join(side, LEAF).filter("own = digits")
     running = F.col("before") + F.sum("tokens").over(Window.partitionBy(*LEAF).orderBy("h"))
@@ -140,7 +140,7 @@ def mix(
     leaf = [name(domain).alias("domain"), name(F.col(lang)).alias("lang"), name(F.col(source)).alias("source")]
     k = F.col(key).cast("string").alias("key")
     units = materialize(docs.select(*leaf, k, count_tokens(F.col(text)).alias("tokens")), "units")
-    plan = materialize(leaf_prefixes(units, config), "plan")
+    plan = materialize(leaf_prefixes(units, config), "plan", FEW)
     *own, order_key, full, last, taken = fresh(docs, *(f"_leaf_{x}" for x in LEAF), "_order_key", "_full", "_last", "_taken")
     side = plan.select(*(F.col(x).alias(n) for x, n in zip(LEAF, own, strict=True)), F.col("full").alias(full), F.col("last").alias(last))
     keyed = docs.withColumns(dict(zip(own, leaf, strict=True)) | {order_key: k})

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.runtime import materialize
+from tessella.runtime import FEW, materialize
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -32,13 +32,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
         .filter(F.col(a).isNotNull() & F.col(b).isNotNull()).filter("hi > lo").distinct(),
         "edges",
+        FEW,
     )
     for _ in range(max_rounds):
         roots = current.select(F.col("lo").alias("hi")).distinct()
         many = current.groupBy("hi").count().filter("count > 1").limit(1)
         if current.join(roots, "hi", "left_semi").limit(1).count() == 0 and many.count() == 0:
             break
-        current = materialize(_stars(current), "edges")
+        current = materialize(_stars(current), "edges", FEW)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("lo").alias("node")).distinct()

@@ -14,6 +14,9 @@ _CHECKPOINT = "spark.checkpoint.dir"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of whole texts that go to a Python worker at once; Spark's own default is ten times that.
 TEXT_ROWS = 1000
+#: Files a core for tables dealt by a shuffle: those with a few numbers a row, and those with arrays or
+#: several rows a document. Bytes of their row groups, so that large files are still read in parts.
+FEW, SOME, ROW_GROUP = 4, 8, 16 << 20
 
 
 def session(master: str | None = None, cores: int | None = None, **conf: str) -> SparkSession:
@@ -60,17 +63,22 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+def materialize(df: DataFrame, name: str = "step", per_core: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage with files any executor can read again after another is lost; the folder is
-    deleted when the driver's JVM ends.
+    deleted when the driver's JVM ends. With ``per_core`` the partitions are written one after the
+    other into that many files a core at most. Without Hadoop's native library an executor starts two
+    processes for each file on a local disk, each of which shares all of the JVM's memory at first.
     """
     spark = df.sparkSession
+    if per_core:
+        df = df.coalesce(per_core * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
-    df.write.parquet(path)
+    writer = df.write.option("parquet.block.size", ROW_GROUP) if per_core else df.write
+    writer.parquet(path)
     target.getFileSystem(conf).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
