@@ -89,11 +89,12 @@ class Vocabulary:
         self.grows = np.zeros(1 << 20, bool)
         self.grows[((np.array([_string_hash(p) for p in begins], np.uint64) * _SPREAD) >> _SHIFT).astype(np.int64)] = True
         self.weights = weight[self.ranks]
+        self.chances = np.exp(self.weights)
         self.byte_weight = float(weight[-1])
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which of the hashed strings are pieces, their ids, and which may begin a longer piece."""
-        bucket = ((h * _SPREAD) >> _SHIFT).astype(np.int64)
+        bucket = ((h * _SPREAD) >> _SHIFT).view(np.int64)
         first = self.first[bucket]
         maybe = np.flatnonzero(first >= 0)
         at, own = first[maybe], h[maybe]
@@ -108,9 +109,12 @@ class Vocabulary:
 
 
 def _scramble(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(31))  # the caller's array stays; the rest is in place
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def _string_hash(text: str) -> int:
@@ -166,14 +170,16 @@ def word_lattices(words: list[str], v: Vocabulary) -> Words:
     chars[inside] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
     place = np.arange(total) - np.repeat(base, length + 1)  # characters before each state
     ends, sizes, ids = [], [], []
-    starts, h = np.arange(total), np.zeros(total, np.uint64)
+    left = np.repeat(length, length + 1) - place  # characters after each state
+    step, starts, h = chars + np.uint64(1), np.flatnonzero(left), None
     for n in range(1, min(v.longest, int(length.max(initial=0))) + 1):
         # the states with n characters of their word after them, and the hashes of these
-        inner = starts + n < total
-        starts, h = starts[inner], h[inner]
-        inner = place[starts + n] >= n
-        starts, h = starts[inner], h[inner]
-        h = h * _BASE + (chars[starts + n] + np.uint64(1))
+        if n > 1:
+            inner = np.flatnonzero(left[starts] >= n)
+            starts, h = starts[inner], h[inner] * _BASE
+            h += step[starts + n]
+        else:
+            h = step[starts + 1]
         hit, piece, longer = v.find(h)
         end = starts[hit] + n
         starts, h = starts[longer], h[longer]
@@ -190,11 +196,11 @@ def word_lattices(words: list[str], v: Vocabulary) -> Words:
     end, size, piece = end[order], size[order], piece[order].astype(np.int32)
     first = np.zeros(total + 1, np.int64)
     np.cumsum(np.bincount(end, minlength=total), out=first[1:])
-    weight = v.weights[piece]
     odd = np.flatnonzero(piece < 0)
     c = chars[end[odd]]
-    weight[odd] = np.where(c < 0x80, 1, np.where(c < 0x800, 2, np.where(c < 0x10000, 3, 4))) * v.byte_weight
-    chance, state = np.exp(weight), np.zeros(total)
+    spelled = np.where(c < 0x80, 1, np.where(c < 0x800, 2, np.where(c < 0x10000, 3, 4))) * v.byte_weight
+    chance, state = v.chances[piece], np.zeros(total)
+    chance[odd] = np.exp(spelled)
     state[base] = 1.0
     # edges of short words by the place of their state; places of long words count as beyond
     turn = np.where(np.repeat(length <= TOGETHER, length + 1), place, TOGETHER + 1).astype(np.int16)[end]
@@ -214,7 +220,11 @@ def word_lattices(words: list[str], v: Vocabulary) -> Words:
         state[into[r:q]] = sums
         part[a:b] = mass / np.repeat(sums, many[r:q])
     chance[turns] = part
-    for w in np.flatnonzero(length > TOGETHER):
+    beyond = np.flatnonzero(length > TOGETHER)
+    if len(beyond):
+        weight = v.weights[piece]
+        weight[odd] = spelled
+    for w in beyond:
         logs = np.zeros(length[w] + 1)
         for j in range(1, length[w] + 1):
             e = slice(first[base[w] + j], first[base[w] + j + 1])

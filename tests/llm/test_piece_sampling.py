@@ -8,7 +8,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessella.llm.piece_sampling import _CHUNK, Lattices, SampleConfig, _decoder, _spelled, chunked, decode, decode_ids, encode, load_vocabulary, sample_texts
+from tessella.llm.piece_sampling import _CHUNK, Lattices, SampleConfig, _decoder, _spelled, chunked, decode, decode_ids, encode, load_vocabulary, sample_texts, word_lattices
 
 CONFIG = SampleConfig(samples=3)
 V = load_vocabulary(CONFIG)
@@ -126,3 +126,11 @@ def test_decoder_handles_nulls_slices_and_no_rows():
 def test_chunks_are_those_of_the_pattern(text):
     assert chunked(text) == (_CHUNK.findall(" " + text) if text else [])
     assert chunked(text + "\0") == _CHUNK.findall(" " + text + "\0")
+
+
+def test_chances_of_pieces_are_computed_once(monkeypatch):
+    """Lattices take the chances of pieces from the vocabulary; only characters in bytes need their own."""
+    exp, done = np.exp, []
+    monkeypatch.setattr(np, "exp", lambda x, *a, **k: (done.append(np.size(x)), exp(x, *a, **k))[1])
+    w = word_lattices([" segmentation", "ångström", " \u2581x", "a"], V)
+    assert sum(done) == (w.ids < 0).sum() < len(w.ids)
