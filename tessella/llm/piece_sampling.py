@@ -14,7 +14,7 @@ score, ``log(1 - exp(-exp(log_prob - threshold)))``.
 Pieces never cross from a word into the next space, so the lattice is a chain of word lattices. Forward
 sums of all distinct words of a batch, and draws for all words of all its texts, are numpy operations.
 A word's lattice depends on nothing but the word, so that a worker keeps it for later texts, within a
-bound. Draws are hashes of (row key, sample, word, step): equal rows get equal results on any cluster.
+bound; beyond it the words met most often stay. Draws are hashes of (row key, sample, word, step): equal rows get equal results on any cluster.
 
 A character that is no piece is spelled in byte pieces, as is a literal U+2581. Decoding is exact.
 The vocabulary's file is a parameter; the driver reads it once and ships the pieces.
@@ -34,6 +34,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +45,10 @@ from tessella.runtime import lean
 PIECE = 256 << 10
 #: Words drawn at once, also of one text, however long it is.
 BLOCK = 64 << 10
-#: States of the lattices that a worker keeps for the next texts; beyond it, it starts anew.
-KEPT_STATES = 256 << 10
+#: States of the lattices that a worker keeps for the next texts; beyond it, words met most often keep theirs.
+KEPT_STATES = 512 << 10
+#: New words whose lattices are made at once, so that their arrays stay in a core's cache.
+NEW_WORDS = 4 << 10
 #: Words up to this length are handled together; longer ones one by one in logarithms.
 TOGETHER = 40
 _CHUNK = re.compile(r" *[^ \n\t]+| +|[\n\t]")
@@ -86,8 +89,9 @@ class Vocabulary:
         self.keys = np.append(keys[order], np.zeros(self.most, np.uint64))
         self.ids = np.append(np.array([k for k, _ in plain], np.int32)[order], np.zeros(self.most, np.int32))
         begins = {p[:n] for _, p in plain for n in range(1, len(p))}
-        self.grows = np.zeros(1 << 20, bool)
-        self.grows[((np.array([_string_hash(p) for p in begins], np.uint64) * _SPREAD) >> _SHIFT).astype(np.int64)] = True
+        # of each bucket: 1 if it has a piece, 2 if one may begin there
+        self.flags = (self.first >= 0).astype(np.uint8)
+        self.flags[((np.array([_string_hash(p) for p in begins], np.uint64) * _SPREAD) >> _SHIFT).astype(np.int64)] |= 2
         self.weights = weight[self.ranks]
         self.chances = np.exp(self.weights)
         self.byte_weight = float(weight[-1])
@@ -95,9 +99,9 @@ class Vocabulary:
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which of the hashed strings are pieces, their ids, and which may begin a longer piece."""
         bucket = ((h * _SPREAD) >> _SHIFT).view(np.int64)
-        first = self.first[bucket]
-        maybe = np.flatnonzero(first >= 0)
-        at, own = first[maybe], h[maybe]
+        flags = self.flags[bucket]
+        maybe = np.flatnonzero(flags & 1)
+        at, own = self.first[bucket[maybe]], h[maybe]
         other = np.flatnonzero(self.keys[at] != own)
         for _ in range(1, self.most):
             # only what its place does not hold moves to the next one
@@ -105,7 +109,7 @@ class Vocabulary:
             other = other[self.keys[at[other]] != own[other]]
         hit = np.ones(len(maybe), bool)
         hit[other] = False
-        return maybe[hit], self.ids[at[hit]], np.flatnonzero(self.grows[bucket])
+        return maybe[hit], self.ids[at[hit]], np.flatnonzero(flags & 2)
 
 
 def _scramble(h: np.ndarray) -> np.ndarray:
@@ -192,7 +196,7 @@ def word_lattices(words: list[str], v: Vocabulary) -> Words:
         sizes.append(np.full(len(end), n, np.int64))
         ids.append(piece)
     end, size, piece = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (ends, sizes, ids))
-    order = np.argsort(end, kind="stable")
+    order = np.argsort(end.astype(np.uint16) if total <= 1 << 16 else end, kind="stable")  # 16 bits sort by digits
     end, size, piece = end[order], size[order], piece[order].astype(np.int32)
     first = np.zeros(total + 1, np.int64)
     np.cumsum(np.bincount(end, minlength=total), out=first[1:])
@@ -243,66 +247,108 @@ def word_lattices(words: list[str], v: Vocabulary) -> Words:
     return Words(base, length, first, size.astype(np.int32), piece, chance, cdf, end.astype(np.int32), chars.astype(np.uint32))
 
 
+def _spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers ``first[k]`` to ``first[k] + count[k] - 1`` of each k, one after the other."""
+    return np.arange(int(count.sum())) + np.repeat(first - np.cumsum(count) + count, count)
+
+
 class Lattices:
     """Lattices of the words a worker has met, by their numbers."""
 
     def __init__(self, v: Vocabulary, most_states: int = KEPT_STATES):
         self.v, self.most_states, self.number, self.words = v, most_states, {}, word_lattices([], v)
+        self.used = np.empty(0, np.int64)  # how often each word was met
         self.room: dict[str, np.ndarray] = {}
 
     def _add(self, b: Words) -> None:
-        """Puts the lattices of ``b`` after the others, in arrays that grow by doubling."""
+        """Puts the lattices of ``b`` after the others, in arrays that grow by half."""
         states, edges, grown = len(self.words.chars), len(self.words.ids), {}
         shifted = {"base": b.base + states, "first": b.first[1:] + edges, "end": b.end + np.int32(states)}
         for k, old in vars(self.words).items():
             new = shifted.get(k, getattr(b, k))
             n = len(old) + len(new)
             if k not in self.room or len(self.room[k]) < n:
-                self.room[k] = np.empty(2 * n, new.dtype)
+                self.room[k] = np.empty(n + n // 2, new.dtype)
                 self.room[k][: len(old)] = old
             self.room[k][len(old) : n] = new
             grown[k] = self.room[k][:n]
         self.words = Words(**grown)
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        """Numbers of ``words`` in ``self.words``; they hold until the next call."""
+    def _thin(self) -> None:
+        """Keeps the words met most often, of those met more than once, in half of the states."""
+        w, states = self.words, self.words.length + 1
+        order = np.argsort(-self.used, kind="stable")
+        order = order[: np.count_nonzero((np.cumsum(states[order]) <= self.most_states // 2) & (self.used[order] > 1))]
+        kept = np.zeros(len(states), bool)
+        kept[order] = True
+        at = np.flatnonzero(kept)
+        names = list(self.number)  # in the order of their numbers
+        self.number = {names[k]: n for n, k in enumerate(at.tolist())}
+        self.used = self.used[at] // 2  # what was met long ago counts less
+        base, states = w.base[at], states[at]
+        from_edge = w.first[base]
+        edges = w.first[base + states] - from_edge
+        of_state, of_edge = _spans(base, states), _spans(from_edge, edges)
+        moved = np.cumsum(states) - states
+        first = np.append(0, np.cumsum(np.diff(w.first)[of_state]))
+        end = w.end[of_edge] + np.repeat(moved - base, edges).astype(np.int32)
+        kept_edges = {k: getattr(w, k)[of_edge] for k in ("size", "ids", "chance", "cdf")}
+        self.words = Words(base=moved, length=w.length[at], first=first, end=end, chars=w.chars[of_state], **kept_edges)
+        for k, x in vars(self.words).items():
+            self.room[k][: len(x)] = x
+        self.words = Words(**{k: self.room[k][: len(x)] for k, x in vars(self.words).items()})
+
+    def numbers(self, words: list[str], times: np.ndarray | None = None) -> np.ndarray:
+        """Numbers of ``words``, each met so many ``times`` (once), in ``self.words``; they hold until the next call."""
         if len(self.words.chars) > self.most_states:
-            self.number, self.words = {}, word_lattices([], self.v)
+            self._thin()
         out = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(out < 0)
         if len(missing):
             named = list(map(words.__getitem__, missing.tolist()))
             fresh = list(dict.fromkeys(named))
-            self._add(word_lattices(fresh, self.v))
             self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
+            for k in range(0, len(fresh), NEW_WORDS):
+                self._add(word_lattices(fresh[k : k + NEW_WORDS], self.v))
             out[missing] = np.fromiter(map(self.number.__getitem__, named), np.int64, len(named))
+        met = np.bincount(out, times, len(self.number)).astype(np.int64)
+        met[: len(self.used)] += self.used
+        self.used = met
         return out
 
 
-def _uniform(seeds: np.ndarray, *parts) -> np.ndarray:
+def _mixed(seeds: np.ndarray, *parts) -> np.ndarray:
     h = seeds.astype(np.uint64)
     for p in parts:
         h = _scramble((h ^ np.asarray(p).astype(np.uint64)) * _BASE + np.uint64(0x632BE59BD9B4E019))
-    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+    return h
+
+
+def _uniform(seeds: np.ndarray, *parts) -> np.ndarray:
+    return ((_mixed(seeds, *parts) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
 def draw_words(w: Words, which: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """A segmentation of each word from its distribution: log probabilities, and steps from the words'
     ends backwards as (places in ``which``, edges)."""
-    logs = np.zeros(len(which))
-    at, state, steps, k = np.arange(len(which)), w.base[which] + w.length[which], [], 0
-    begin = w.base[which]
-    while len(at):
-        edge, u = w.first[state], _uniform(seeds[at], k)
+    logs, begin = np.zeros(len(which)), w.base[which]
+    at, state, steps = np.arange(len(which)), begin + w.length[which], []
+    more = np.flatnonzero(state > begin)
+    while len(more):
+        if len(more) < len(at):
+            at, state, begin, seeds = at[more], state[more], begin[more], seeds[more]
+        edge, u = w.first[state], _uniform(seeds, len(steps))
         later = np.flatnonzero(w.cdf[edge] <= u)
+        e, u = edge[later], u[later]
         while len(later):
-            edge[later] += 1
-            later = later[w.cdf[edge[later]] <= u[later]]
+            e += 1
+            edge[later] = e
+            on = np.flatnonzero(w.cdf[e] <= u)
+            later, e, u = later[on], e[on], u[on]
         logs[at] += np.log(w.chance[edge])
         steps.append((at, edge))
         state = state - w.size[edge]
-        more = np.flatnonzero(state > begin[at])
-        at, state, k = at[more], state[more], k + 1
+        more = np.flatnonzero(state > begin)
     return logs, steps
 
 
@@ -311,11 +357,11 @@ def in_order(count: int, steps) -> tuple[np.ndarray, np.ndarray]:
     n = np.zeros(count, np.int64)
     for at, _ in steps:
         n[at] += 1
-    first = np.cumsum(n) - n
+    ends = np.cumsum(n)
     edges = np.empty(int(n.sum()), np.int32)
     for k, (at, e) in enumerate(steps):
-        edges[first[at] + n[at] - 1 - k] = e
-    return np.append(first, len(edges)), edges
+        edges[ends[at] - (k + 1)] = e
+    return np.append(0, ends), edges
 
 
 def draw_other(w: Words, word: int, gone: list[tuple[int, ...]], uniforms: Iterator[float]) -> tuple[tuple[int, ...], float]:
@@ -383,41 +429,52 @@ def sample_texts(
     ``lattices`` are those of words met before."""
     lattices = lattices or Lattices(v)
     flat = lattices.numbers(list(chain.from_iterable(chunks)))
-    w = lattices.words
-    counts = np.array([len(c) for c in chunks], np.int64)
+    return sample_numbered(keys, flat, np.array([len(c) for c in chunks], np.int64), lattices.words, v, config)
+
+
+def sample_numbered(
+    keys: list, flat: np.ndarray, counts: np.ndarray, w: Words, v: Vocabulary, config: SampleConfig
+) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """``sample_texts`` of texts with ``counts`` words each, which are the numbers ``flat`` in ``w``."""
     ends = np.cumsum(counts)
     starts = ends - counts
     seeds = np.array([xxhash.xxh3_64_intdigest(str(k).encode(), seed=config.seed) for k in keys], np.uint64)
-    owner = np.repeat(np.arange(len(chunks), dtype=np.int32), counts)
-    place = (np.arange(len(flat)) - np.repeat(starts, counts)).astype(np.int32)
-
-    def tails(jobs: list[tuple[int, int]], sample: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """Draws of (text, from word) each: logs, first, edges of the words from there; with each word
-        the logarithm of what its draw leaves, and the uniform of what was passed over."""
-        lengths = np.array([ends[t] - starts[t] - i for t, i in jobs], np.int64)
-        at = np.concatenate([np.arange(starts[t] + i, ends[t]) for t, i in jobs]) if jobs else np.empty(0, np.int64)
-        logs, n, edges = np.empty(len(at)), np.empty(len(at), np.int64), []
+    def tails(jobs: list[tuple[int, int, float, float]], sample: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Draws of (text, from word, log probability before it, bound) each: logs, first, edges of the words
+        from there, and the bounds of what was passed over at each word."""
+        text, skip = (np.array([x[k] for x in jobs], np.int64) for k in (0, 1))
+        before, bound = (np.array([x[k] for x in jobs], np.float64) for k in (2, 3))
+        lengths = counts[text] - skip
+        at, stops = _spans(starts[text] + skip, lengths), np.cumsum(lengths)
+        job = np.repeat(np.arange(len(jobs), dtype=np.int32), lengths)
+        # what a word's draws share with those of all words of its text is hashed once
+        turn, apart = _turned(seeds[text], np.uint64(sample)), _mixed(seeds[text], 1 << 40, sample)
+        logs, n, u, edges = np.empty(len(at)), np.empty(len(at), np.int64), np.empty(len(at)), []
         for k in range(0, len(at), BLOCK):
-            block = at[k : k + BLOCK]
-            logs[k : k + BLOCK], steps = draw_words(w, flat[block], _hashed(seeds[owner[block]], np.uint64(sample), place[block]))
+            block, own = at[k : k + BLOCK], job[k : k + BLOCK]
+            place = (block - starts[text][own]).astype(np.uint64)
+            logs[k : k + BLOCK], steps = draw_words(w, flat[block], _placed(turn[own], place))
             first, found = in_order(len(block), steps)
             n[k : k + BLOCK] = np.diff(first)
+            u[k : k + BLOCK] = _uniform(apart[own], place)
             edges.append(found)
         edges = np.concatenate(edges) if edges else np.empty(0, np.int32)
-        first, rest, u = np.append(0, np.cumsum(n)), _log_rest(logs), _uniform(seeds[owner[at]], 1 << 40, sample, place[at])
-        for k, length in zip(np.cumsum(lengths) - lengths, lengths, strict=True):
-            own, a = slice(k, k + length), first[k]
-            yield logs[own], first[k : k + length + 1] - a, edges[a : first[k + length]], rest[own], u[own]
-
-    def queued(before: float, logs: np.ndarray, rest: np.ndarray, u: np.ndarray, bound: float) -> np.ndarray:
-        return _below(before + np.cumsum(logs) - logs + rest, np.full(len(logs), bound), u)
+        first, queue = np.append(0, np.cumsum(n)), np.empty(len(at))
+        for a, b in zip((stops - lengths).tolist(), stops.tolist(), strict=True):
+            np.cumsum(logs[a:b], out=queue[a:b])  # of each text apart, so that sums don't depend on the batch
+        for k in range(0, len(at), BLOCK):
+            own, part = slice(k, k + BLOCK), job[k : k + BLOCK]
+            queue[own] = _below(before[part] + queue[own] - logs[own] + _log_rest(logs[own]), bound[part], u[own])
+        for a, b in zip((stops - lengths).tolist(), stops.tolist(), strict=True):
+            yield logs[a:b], first[a : b + 1] - first[a], edges[first[a] : first[b]], queue[a:b]
 
     paths: list[list[_Path]] = []
-    bounds = -np.log(-np.log(_uniform(seeds, 1 << 41)))
-    for bound, (logs, first, edges, rest, u) in zip(bounds.tolist(), tails([(t, 0) for t in range(len(chunks))], 0), strict=True):
-        paths.append([_Path(edges, first, logs, bound, queued(0.0, logs, rest, u, bound))])
+    bounds = (-np.log(-np.log(_uniform(seeds, 1 << 41)))).tolist()
+    for bound, (logs, first, edges, queue) in zip(bounds, tails([(t, 0, 0.0, b) for t, b in enumerate(bounds)], 0), strict=True):
+        paths.append([_Path(edges, first, logs, bound, queue)])
     for sample in range(1, config.samples):
         jobs, fresh = [], []
+        others, rest_of = _mixed(seeds, 1 << 42, sample), _uniform(seeds, 1 << 43, sample)
         for t, own in enumerate(paths):
             if len(own) < sample or not counts[t]:
                 continue
@@ -428,25 +485,27 @@ def sample_texts(
                 continue
             gone = (p.word(i), *(p.gone if i == p.branch else ()))
             word = int(flat[starts[t] + i])
-            uniforms = iter(_uniform(np.full(int(w.length[word]), seeds[t], np.uint64), 1 << 42, sample, np.arange(w.length[word])).tolist())
+            uniforms = iter(_uniform(others[t : t + 1], np.arange(w.length[word])).tolist())
             seg, log = draw_other(w, word, list(gone), uniforms)
             p.queue[i] = -np.inf
             if not seg:
                 continue
-            jobs.append((t, i + 1))
-            fresh.append((p, i, bound, gone, seg, log))
-        for (t, _), (p, i, bound, gone, seg, log), (logs, first, edges, rest, u) in zip(jobs, fresh, tails(jobs, sample), strict=True):
-            head = p.first[i]
             before = float(p.logs[:i].sum())
+            jobs.append((t, i + 1, before + log, bound))
+            fresh.append((p, i, before, gone, seg, log))
+        for (t, _, _, bound), (p, i, before, gone, seg, log), (logs, first, edges, queue) in zip(jobs, fresh, tails(jobs, sample), strict=True):
+            head = p.first[i]
             out = sum(float(w.chance[list(g)].prod()) for g in gone) + np.exp(log)
-            here = _below(np.array([before + (np.log(1 - out) if 1 - out > 1e-13 else -np.inf)]), np.array([bound]), _uniform(seeds[t : t + 1], 1 << 43, sample))
-            queue = np.concatenate([np.full(i, -np.inf), here, queued(before + log, logs, rest, u, bound)])
+            here = _below(np.array([before + (np.log(1 - out) if 1 - out > 1e-13 else -np.inf)]), np.array([bound]), rest_of[t : t + 1])
             paths[t].append(
                 _Path(
-                    np.concatenate([p.edges[:head], seg[::-1], edges]).astype(np.int32),
-                    np.concatenate([p.first[: i + 1], first + head + len(seg)]), np.concatenate([p.logs[:i], [log], logs]), bound, queue, i, gone,
+                    np.concatenate([p.edges[:head], seg[::-1], edges]).astype(np.int32), np.concatenate([p.first[: i + 1], first + head + len(seg)]),
+                    np.concatenate([p.logs[:i], [log], logs]), bound, np.concatenate([np.full(i, -np.inf), here, queue]), i, gone,
                 )
             )
+    every = [p.edges for own in paths for p in own]
+    ids, cuts = _ids(w, np.concatenate(every) if every else np.empty(0, np.int32), np.append(0, np.cumsum([len(e) for e in every], dtype=np.int64)), v)
+    spans = iter(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
     results = []
     for own in paths:
         limit = max((float(p.queue.max(initial=-np.inf)) for p in own), default=-np.inf)
@@ -454,26 +513,31 @@ def sample_texts(
         for p in own:
             log = float(p.logs.sum())
             x = log - limit
-            row.append((_ids(w, p.edges, v), log, p.bound, 0.0 if not np.isfinite(limit) else x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 700)))))))
+            row.append((ids[slice(*next(spans))], log, p.bound, 0.0 if not np.isfinite(limit) else x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 700)))))))
         results.append(row)
     return results
 
 
-def _hashed(seeds: np.ndarray, turn: np.uint64, place: np.ndarray) -> np.ndarray:
-    h = _scramble((seeds ^ turn) * _BASE + np.uint64(1))
-    return _scramble((h ^ place.astype(np.uint64)) * _BASE + np.uint64(2))
+def _turned(seeds: np.ndarray, turn: np.uint64) -> np.ndarray:
+    return _scramble((seeds ^ turn) * _BASE + np.uint64(1))
 
 
-def _ids(w: Words, edges: np.ndarray, v: Vocabulary) -> np.ndarray:
+def _placed(h: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return _scramble((h ^ place) * _BASE + np.uint64(2))
+
+
+def _ids(w: Words, edges: np.ndarray, cuts: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of ``edges``, and where those of the edges before each of ``cuts`` end."""
     ids = w.ids[edges]
     spelled = np.flatnonzero(ids < 0)
     if len(spelled):
         raw = [chr(c).encode("utf-8", "surrogatepass") for c in w.chars[w.end[edges[spelled]]].tolist()]
         times = np.ones(len(ids), np.int64)
         times[spelled] = [len(x) for x in raw]
+        cuts = np.append(0, np.cumsum(times))[cuts]
         ids = np.repeat(ids, times)
         ids[ids < 0] = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32) + v.bytes_at
-    return ids
+    return ids, cuts
 
 
 def chunked(text: str) -> list[str]:
@@ -488,6 +552,30 @@ def chunked(text: str) -> list[str]:
     return list(filter(None, cut.split("\0")))
 
 
+def _cut(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """``chunked`` of all texts: numbers of their parts, the distinct parts, and how many parts each text has."""
+    plain = texts.fill_null("")
+    if pc.any(pc.match_substring(plain, "\0")).as_py():
+        parts = list(map(chunked, plain.to_pylist()))
+        values, counts = pa.array(list(chain.from_iterable(parts)), pa.string()), np.array([len(p) for p in parts], np.int64)
+    else:
+        cut = plain
+        for a, b in ((" ", "\0 "), ("\n", "\0\n\0"), ("\t", "\0\t\0")):
+            cut = pc.replace_substring(cut, a, b)
+        cut = pc.binary_join_element_wise(" ", cut, "")
+        # spaces that follow each other, also the one before each text, belong together
+        odd = pc.or_(pc.match_substring(plain, "  "), pc.or_(pc.starts_with(plain, " "), pc.equal(plain, "")))
+        if pc.any(odd).as_py():
+            cut = pc.replace_with_mask(cut, odd, pa.array(["\0".join(chunked(t)) for t in plain.filter(odd).to_pylist()], pa.string()))
+        lists = pc.split_pattern(cut, "\0")
+        values = lists.flatten()
+        some = pc.binary_length(values).to_numpy() > 0
+        counts = np.diff(np.append(0, np.cumsum(some))[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
+        values = values.filter(pa.array(some))
+    coded = values.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), counts  # to_pylist takes ten times as long
+
+
 def _spelled(pieces: list[str], bytes_at: int) -> list[bytes]:
     """The bytes that each id stands for."""
     out = [p.encode("utf-8", "surrogatepass") for p in pieces]
@@ -510,14 +598,14 @@ def _encoder(v: Vocabulary, config: SampleConfig):
         lattices = Lattices(v)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            start = 0
+            start, sizes = 0, pc.utf8_length(texts).fill_null(0).to_pylist()
             while start < len(keys):
-                chars, parts, stop = 0, [], start
+                chars, stop = 0, start
                 while stop < len(keys) and (chars < PIECE or stop == start):
-                    text = texts[stop].as_py() or ""
-                    parts.append(chunked(text))
-                    chars, stop = chars + len(text), stop + 1
-                got = sample_texts(keys[start:stop], parts, v, config, lattices)
+                    chars, stop = chars + sizes[stop], stop + 1
+                codes, words, counts = _cut(texts.slice(start, stop - start))
+                numbers = lattices.numbers(words, np.bincount(codes, minlength=len(words)))
+                got = sample_numbered(keys[start:stop], numbers[codes], counts, lattices.words, v, config)
                 at = [k for k, rows in enumerate(got, start) for _ in rows]
                 flat = [x for rows in got for x in rows]
                 pieces = pa.ListArray.from_arrays(

@@ -8,6 +8,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tessella.llm import piece_sampling
 from tessella.llm.piece_sampling import _CHUNK, Lattices, SampleConfig, _decoder, _spelled, chunked, decode, decode_ids, encode, load_vocabulary, sample_texts, word_lattices
 
 CONFIG = SampleConfig(samples=3)
@@ -134,3 +135,29 @@ def test_chances_of_pieces_are_computed_once(monkeypatch):
     monkeypatch.setattr(np, "exp", lambda x, *a, **k: (done.append(np.size(x)), exp(x, *a, **k))[1])
     w = word_lattices([" segmentation", "ångström", " \u2581x", "a"], V)
     assert sum(done) == (w.ids < 0).sum() < len(w.ids)
+
+
+def test_frequent_words_stay_when_lattices_are_too_many(monkeypatch):
+    """Words of every text are built once, however many rare ones fill the room between."""
+    built, make = Counter(), piece_sampling.word_lattices
+    monkeypatch.setattr(piece_sampling, "word_lattices", lambda words, v: (built.update(words), make(words, v))[1])
+    few, common = Lattices(V, 400), ["common", " words", " stay", "\n"]
+    for k in range(60):
+        few.numbers([*common, *(f" rare{k}x{n}é" for n in range(10)), *common])
+    assert {built[c] for c in common} == {1}
+    for word, n in few.number.items():  # those that moved are as when they are new
+        one, w, at = make([word], V), few.words, few.words.base[n]
+        edges = slice(w.first[at], w.first[at + len(word) + 1])
+        assert w.length[n] == len(word) and (w.chars[at : at + len(word) + 1] == one.chars).all()
+        assert (w.first[at : at + len(word) + 2] - w.first[at] == one.first).all() and (w.end[edges] - at == one.end).all()
+        assert all((getattr(w, k)[edges] == getattr(one, k)).all() for k in ("size", "ids", "chance", "cdf"))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab \n\té🙂", max_size=20) | st.none() | st.just("a\0 b"), max_size=5))
+def test_columns_are_cut_like_texts(texts):
+    for column in (pa.array(texts, pa.string()), pa.array(["x y", *texts], pa.string()).slice(1)):
+        codes, words, counts = piece_sampling._cut(column)
+        every = [chunked(t or "") for t in texts]
+        assert counts.tolist() == list(map(len, every)) and len(set(words)) == len(words)
+        assert [words[k] for k in codes] == [c for chunks in every for c in chunks]
